@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import load
 from .encoding import encode_corpus
+from .leakage import leaked_items
 from .splitting import split_pages
 from .term_counts import concept_counts
 
@@ -41,5 +42,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(load(spark, d, "documents"))
 
 
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(load(spark, d, "documents"), load(spark, d, "heldout_passages"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_matches(spark, d).where("share >= 0.5").select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_counts, p4_found, p5_pieces, p5_found, p6_ids)}
+    return {f.__name__: f for f in (p4_counts, p4_found, p5_pieces, p5_found, p6_ids, p7_matches, p7_found)}
