@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import load
 from .encoding import encode_corpus
 from .leakage import leaked_items
+from .similar_vectors import similar_vectors
 from .splitting import split_pages
 from .term_counts import concept_counts
 
@@ -19,6 +20,14 @@ def _threshold(spark: SparkSession, d: str) -> float:
     return float(row[0]) if row and row[0] is not None else 1.0
 
 
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return similar_vectors(load(spark, d, "concept_vectors"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pairs(spark, d).select("left_row_idx", "right_row_idx")
+
+
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return concept_counts(load(spark, d, "paper_concepts"), load(spark, d, "concepts"), load(spark, d, "papers"), _threshold(spark, d))
 
@@ -51,4 +60,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_counts, p4_found, p5_pieces, p5_found, p6_ids, p7_matches, p7_found)}
+    return {f.__name__: f for f in (p1_pairs, p1_found, p4_counts, p4_found, p5_pieces, p5_found, p6_ids, p7_matches, p7_found)}
