@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .canonical import map_to_canonical
 from .common import load
 from .encoding import encode_corpus
 from .leakage import leaked_items
@@ -28,6 +29,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pairs(spark, d).select("left_row_idx", "right_row_idx")
 
 
+def p3_mapped(spark: SparkSession, d: str) -> DataFrame:
+    return map_to_canonical(load(spark, d, "extracted_concepts"), load(spark, d, "normalized_concepts"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_mapped(spark, d).select("paper_id", "local_id", "concept_id")
+
+
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return concept_counts(load(spark, d, "paper_concepts"), load(spark, d, "concepts"), load(spark, d, "papers"), _threshold(spark, d))
 
@@ -60,4 +69,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_pairs, p1_found, p4_counts, p4_found, p5_pieces, p5_found, p6_ids, p7_matches, p7_found)}
+    return {f.__name__: f for f in (p1_pairs, p1_found, p3_mapped, p3_found, p4_counts, p4_found, p5_pieces, p5_found, p6_ids, p7_matches, p7_found)}
