@@ -14,6 +14,7 @@ from .leakage import leaked_items
 from .similar_vectors import similar_vectors
 from .splitting import split_pages
 from .term_counts import concept_counts
+from .truncation import cut_shares, examined_texts
 
 
 def _threshold(spark: SparkSession, d: str) -> float:
@@ -68,5 +69,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_matches(spark, d).where("share >= 0.5").select("doc_id", "item_id")
 
 
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return cut_shares(examined_texts(load(spark, d, "documents")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return examined_texts(load(spark, d, "documents")).where("cut").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_pairs, p1_found, p3_mapped, p3_found, p4_counts, p4_found, p5_pieces, p5_found, p6_ids, p7_matches, p7_found)}
+    return {f.__name__: f for f in (p1_pairs, p1_found, p3_mapped, p3_found, p4_counts, p4_found, p5_pieces, p5_found, p6_ids, p7_matches, p7_found, p8_shares, p8_found)}
