@@ -11,6 +11,7 @@ from .canonical import map_to_canonical
 from .common import load
 from .encoding import encode_corpus
 from .leakage import leaked_items
+from .markup import convert_pages
 from .similar_vectors import similar_vectors
 from .splitting import split_pages
 from .term_counts import concept_counts
@@ -30,6 +31,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pairs(spark, d).select("left_row_idx", "right_row_idx")
 
 
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of every page with its markers; a page delivered twice counts once."""
+    return convert_pages(load(spark, d, "pages")).select("paper_id", "page", "clean", "markers").dropDuplicates(["paper_id", "page"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return convert_pages(load(spark, d, "pages")).select("paper_id", "page", F.explode("families").alias("family")).distinct()
+
+
 def p3_mapped(spark: SparkSession, d: str) -> DataFrame:
     return map_to_canonical(load(spark, d, "extracted_concepts"), load(spark, d, "normalized_concepts"))
 
@@ -78,4 +88,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_pairs, p1_found, p3_mapped, p3_found, p4_counts, p4_found, p5_pieces, p5_found, p6_ids, p7_matches, p7_found, p8_shares, p8_found)}
+    return {f.__name__: f for f in (p1_pairs, p1_found, p2_clean, p2_found, p3_mapped, p3_found, p4_counts, p4_found, p5_pieces, p5_found, p6_ids, p7_matches, p7_found, p8_shares, p8_found)}
