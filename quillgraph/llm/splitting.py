@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import WHITE_SPACE, let, without_marker_lines
 
+_HELD = "__quillgraph_split"
 _WORDS = f"[^{WHITE_SPACE}]+[{WHITE_SPACE}]*"
 _BREAK = r"\n\r\x{85}\x{2028}\x{2029}"
 _BOUNDARIES = (
@@ -28,6 +29,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(without_marker_lines(text), F.lit(_WORDS), F.lit(0))
 
 
+def _trimmed(piece: Column) -> Column:
+    return F.regexp_replace(piece, f"[{WHITE_SPACE}]+$", "")
+
+
 def _letter(word: Column) -> Column:
     out = None
     for letter, pattern in _BOUNDARIES:
@@ -62,15 +67,15 @@ def split_words(df: DataFrame, text: str, limit: str, overlap: str) -> DataFrame
         return let(lens, lambda runs: F.transform(runs, lambda n, i: piece(w, _before(runs, i), n)))
 
     def piece(w: Column, at: Column, n: Column) -> Column:
-        return F.rtrim(F.array_join(F.slice(w, at - F.least(at, shared) + 1, n + F.least(at, shared)), ""))
+        return _trimmed(F.array_join(F.slice(w, at - F.least(at, shared) + 1, n + F.least(at, shared)), ""))
 
     def pieces(w: Column) -> Column:
-        whole = F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array(F.rtrim(F.array_join(w, ""))))
+        whole = F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array(_trimmed(F.array_join(w, ""))))
         return F.when(most.isNull() | (most < 1), None).when(F.size(w) <= most, whole).otherwise(cut(w))
 
     both = F.when(F.col(text).isNotNull(), let(words(F.col(text)), lambda w: F.struct(F.size(w).alias("n_words"), pieces(w).alias("pieces"))))
     # the generator keeps the optimizer from computing the split again for each use of it
-    return df.withColumn("_split", F.explode(F.array(both))).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_words", "pieces")], "_split.n_words", "_split.pieces")
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c not in ("n_words", "pieces")], F.explode(F.array(both)).alias(_HELD)).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_words", "pieces")], f"{_HELD}.n_words", f"{_HELD}.pieces")
 
 
 def _before(runs: Column, i: Column) -> Column:
