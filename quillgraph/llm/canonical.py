@@ -37,11 +37,14 @@ _BRACKETS = re.compile(r"\(([^()]*)\)|\[([^\[\]]*)\]")
 
 
 def _plain(value: str) -> str:
-    value = unicodedata.normalize("NFKC", value)
-    for _ in range(3):
-        value = _COMMAND.sub(r"\1", value)
-    value = _TAG.sub(" ", value)
-    value = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    if not value.isascii():
+        value = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", value))
+        value = "".join(c for c in value if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    if "\\" in value:
+        for _ in range(3):
+            value = _COMMAND.sub(r"\1", value)
+    if "<" in value:
+        value = _TAG.sub(" ", value)
     # camel case only where the value is one word of several humps; capitals alone are an acronym
     return " ".join(_CAMEL.sub(" ", w) if re.search("[a-z]", w) else w for w in value.split())
 
@@ -93,6 +96,14 @@ def within(a: str, b: str, most: int) -> bool:
     return old[-1] <= most
 
 
+def _letters(word: str) -> int:
+    """The letters of a word as bits. A slip takes out one letter and brings in one at most."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 31)
+    return bits
+
+
 def _grams(words: tuple[str, ...]) -> Counter:
     return Counter(g for w in words for g in (f" {w} "[i : i + 3] for i in range(len(w))))
 
@@ -138,6 +149,7 @@ class CanonicalIndex:
         self.known = frozenset(self.vocabulary)
         # slips are looked for in words, not in lone acronyms
         self.spelled = sorted({w for k in self.keys if len(k) > 1 for w in k})
+        self.letters = [(v, len(v), _letters(v)) for v in self.spelled]
         grams = [_grams(k) for k in self.keys]
         self.gram = {g: n for n, g in enumerate(sorted({g for c in grams for g in c}))}
         holders = Counter(g for c in grams for g in c)
@@ -150,6 +162,7 @@ class CanonicalIndex:
                 lists[g].append((n, w / norm))
         self.post = [(np.array([x[0] for x in p], dtype=np.int32), np.array([x[1] for x in p])) for p in lists]
         self._close = lru_cache(200_000)(self._close_words)
+        self._entries = lru_cache(200_000)(self._entries_of)
 
     def words(self, value: str | None) -> tuple[str, ...]:
         """The content words of a value, neighbours that write a compound joined."""
@@ -160,7 +173,7 @@ class CanonicalIndex:
         at = 0
         while at < len(found):
             pair = "".join(found[at : at + 2])
-            if at + 1 < len(found) and (pair in self.compounds or len(pair) < 12 and any(within(pair, c, 1) for c in self.compounds)):
+            if at + 1 < len(found) and (pair in self.compounds or len(pair) < 12 and any(abs(len(pair) - len(c)) <= 1 and within(pair, c, 1) for c in self.compounds)):
                 out.append(pair)
                 at += 2
             else:
@@ -178,8 +191,13 @@ class CanonicalIndex:
             return tuple((v, 1) for v in self.spelled if v.startswith(word[:-1])) or self._close_words(whole)
         if len(word) < 3:
             return ()
-        one = tuple((v, 1) for v in self.spelled if within(word, v, 1))
-        return one or (tuple((v, 2) for v in self.spelled if len(v) >= 9 and within(word, v, 2)) if len(word) >= 9 else ())
+        one = tuple((v, 1) for v in self._like(word, 1) if within(word, v, 1))
+        return one or (tuple((v, 2) for v in self._like(word, 2) if len(v) >= 9 and within(word, v, 2)) if len(word) >= 9 else ())
+
+    def _like(self, word: str, most: int) -> Iterator[str]:
+        """Words whose length and letters don't rule out that so many slips lead to them."""
+        n, own = len(word), _letters(word)
+        return (v for v, k, letters in self.letters if abs(n - k) <= most and (own ^ letters).bit_count() <= 2 * most)
 
     def candidates(self, words: tuple[str, ...]) -> list[tuple[int, float]]:
         """Keys above the threshold, the best first: (number, cosine)."""
@@ -196,6 +214,9 @@ class CanonicalIndex:
 
     def entry_of(self, value: str | None) -> tuple[frozenset[str], float]:
         """The entries that the value writes equally well (one, if it is clear), and the score."""
+        return self._entries(value)
+
+    def _entries_of(self, value: str | None) -> tuple[frozenset[str], float]:
         words = self.words(value)
         if not words:
             return frozenset(), 0.0
