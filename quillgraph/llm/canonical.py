@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, MARGIN, MOST_ENTRIES = 0.3, 0.0, 200_000
+THRESHOLD, MARGIN, MOST_ENTRIES = 0.2, 0.0, 200_000
 UNMATCHED = "unmatched"
 
 #: Words that name no concept of their own.
