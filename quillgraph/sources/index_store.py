@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import integrity
 from ..operators.graph import Graph
 from . import schemas
 from .corpus import Incompatible, Invalid, NotFound, Unreadable, read_text, write_text
@@ -46,13 +47,17 @@ def artifact_paths(data_dir: str) -> list[str]:
 
 
 def write_index(spark: SparkSession, data_dir: str, tables: dict[str, DataFrame], manifest: Manifest) -> None:
-    """All tables, then the manifest; the former manifest goes first, so that a broken build has none."""
+    """All tables, their rules, then the manifest; the former manifest goes first, so that a broken build has none.
+
+    Rules are checked on what was written, once, so that a search need not check them again.
+    """
     base = folder(data_dir)
     jvm = spark.sparkContext._jvm
     old = jvm.org.apache.hadoop.fs.Path(f"{base}/manifest.json")
     old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, False)
     for name in TABLES:
         tables[name].write.mode("overwrite").parquet(f"{base}/{name}")
+    check_index(_read_tables(spark, data_dir, manifest))
     write_text(spark, f"{base}/manifest.json", json.dumps(manifest.__dict__, indent=2) + "\n")
 
 
@@ -73,8 +78,22 @@ def read_manifest(spark: SparkSession, data_dir: str) -> Manifest:
     return Manifest(**value)
 
 
-def read_index(spark: SparkSession, data_dir: str) -> Index:
-    manifest = read_manifest(spark, data_dir)
+def read_index(spark: SparkSession, data_dir: str, check: bool = False) -> Index:
+    """The index, lazily; with check, its rules are checked again, for files that others may have edited."""
+    index = _read_tables(spark, data_dir, read_manifest(spark, data_dir))
+    if check:
+        check_index(index)
+    return index
+
+
+def check_index(index: Index) -> None:
+    """Raises Invalid with a summary of all violations of the rules in and between the tables."""
+    found = integrity.check_index(index.graph, index.chunks, index.items, index.manifest.embedding_dimension, index.manifest.n_papers)
+    if rows := integrity.summary(found).orderBy("rule").collect():  # one row per broken rule
+        raise Invalid("index", "; ".join(f"{r['rule']} ({r['message']}): {r['named']}" + (f" and {r['n'] - integrity.NAMED} more" if r["n"] > integrity.NAMED else "") for r in rows))
+
+
+def _read_tables(spark: SparkSession, data_dir: str, manifest: Manifest) -> Index:
     t = {}
     for name, schema in TABLES.items():
         path = f"{folder(data_dir)}/{name}"

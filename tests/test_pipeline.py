@@ -90,6 +90,16 @@ def test_index(spark, data):
     assert check_index(index.graph, index.chunks, index.items, 8, 3).count() == 0
 
 
+def test_an_edited_index_is_refused_when_checked(spark, data, tmp_path):
+    import shutil
+
+    shutil.copytree(f"{data}/index", tmp_path / "index")
+    index_store.read_index(spark, str(tmp_path), check=True)
+    spark.read.parquet(f"{data}/index/chunks").where("id <> '1:0'").write.mode("overwrite").parquet(str(tmp_path / "index/chunks"))
+    with pytest.raises(corpus.Invalid, match="chunk_item"):
+        index_store.read_index(spark, str(tmp_path), check=True)
+
+
 def test_search(spark, data):
     got = search(spark, data, ["要約一"], HashEmbedder(), SearchConfig(top_k=1, generic_concept_threshold=0.7))
     assert [c["paper_id"] for c in got["direct_candidates"]] == [1]
