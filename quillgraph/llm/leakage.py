@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -143,12 +144,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     """
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, covered_words int, item_words int, share double"
-    held = [(r[0], words(r[1])) for r in items.select(F.col(item_key).cast("bigint"), item_text).where(F.col(item_text).isNotNull()).orderBy(item_key).toLocalIterator()]
-    held = [(i, w) for i, w in held if len(w) >= RUN and i is not None]
-    out = spark.createDataFrame([], schema)
-    for lo in range(0, len(held), ITEMS_PER_ROUND):
-        out = out.unionByName(_round(documents, held[lo : lo + ITEMS_PER_ROUND], key, text, schema)) if lo else _round(documents, held[:ITEMS_PER_ROUND], key, text, schema)
-    return out
+    rows = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator()
+    held = ((i, w) for i, w in ((r[0], words(r[1])) for r in rows) if len(w) >= RUN)
+    out: DataFrame | None = None
+    while some := list(islice(held, ITEMS_PER_ROUND)):
+        part = _round(documents, some, key, text, schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def _round(documents: DataFrame, held: list[tuple[int, list[str]]], key: str, text: str, schema: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_folder
@@ -23,6 +23,9 @@ from .common import shared_folder
 KNOWN_FROM, EXPLAINS = 2, 0.8
 #: A fixed length is a source's field limit if at least this many and this share of its texts end there.
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.02
+#: Kinds of an end that are cut by themselves, and kinds for which the baseline decides.
+BY_ITSELF = ("mark", "broken", "open", "prose", "cut_code", "cut_reference")
+BY_TAIL = ("list", "keywords", "title", "signature", "status")
 
 _CLOSED = re.compile(r"[.!?。！？؟।][\"'”’」』»)\]}*_]*$")
 #: The signs by which sources mark a cut.
@@ -213,16 +216,6 @@ def _features(documents: DataFrame, key: str, text: str, source: str) -> DataFra
     return documents.select(F.col(key).cast("bigint"), source, text).mapInArrow(run, _FEATURES)
 
 
-def _is_cut() -> Column:
-    kind = F.col("kind")
-    by_tail = kind.isin("list", "keywords", "title", "signature", "status")
-    return (
-        F.when(kind.isin("mark", "broken", "open", "prose", "cut_code", "cut_reference"), True)
-        .when(by_tail & F.coalesce("used", F.lit(False)), F.col("known").isNull())
-        .otherwise(False)
-    )
-
-
 def examined_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, chars, kind, cut), one row per row of documents.
 
@@ -240,8 +233,11 @@ def examined_texts(documents: DataFrame, key: str = "doc_id", text: str = "text"
     least = F.when(F.col("kind").isin("signature", "status"), F.greatest(F.lit(KNOWN_FROM), F.col("total") * 0.01)).otherwise(F.lit(KNOWN_FROM))
     known = tails.join(F.broadcast(used), "kind").where(F.col("n") >= least).select("kind", "key", F.lit(True).alias("known"))
     docs = rows.where(~F.col("kind").startswith("+"))
-    out = docs.join(known, ["kind", "key"], "left").join(F.broadcast(used), "kind", "left")
-    return out.select("doc_id", "source", "chars", "kind", _is_cut().alias("cut"))
+    # most texts end in a terminator: they have no tail and stay out of the join, where they'd be one hot key
+    tailed = docs.where(F.col("kind").isin(*BY_TAIL)).join(known, ["kind", "key"], "left").join(F.broadcast(used), "kind", "left")
+    cut = F.coalesce("used", F.lit(False)) & F.col("known").isNull()
+    others = docs.where(~F.col("kind").isin(*BY_TAIL))
+    return others.select("doc_id", "source", "chars", "kind", F.col("kind").isin(*BY_ITSELF).alias("cut")).unionByName(tailed.select("doc_id", "source", "chars", "kind", cut.alias("cut")))
 
 
 def cut_shares(examined: DataFrame) -> DataFrame:
