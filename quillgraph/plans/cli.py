@@ -97,11 +97,25 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[int, dict]:
     except ModelMismatch as e:
         return INVALID, {"status": "invalid", "reason": "embedding_model_mismatch", "index_model": e.index_model, "embedder_model": e.embedder_model, "message": str(e)}
     except Rejected as e:
-        return INVALID, {"status": "invalid", "reason": e.reason, "issues": e.rows}
+        return INVALID, {"status": "invalid"} | _rejection(args, e)
     except (corpus.SourceError, AgentError, EmbeddingError, GraphError, ValueError) as e:
         return ERROR, {"status": "error", "message": str(e)}
 
 
+def _rejection(args: argparse.Namespace, e: Rejected) -> dict:
+    """What was wrong, by command: build has a reason, normalize a stage, and both agent commands their attempts."""
+    if args.command == "extract":
+        return {"attempts": args.max_attempts, "issues": e.rows}
+    if args.command == "normalize":
+        return {"stage": e.reason, "attempts": args.max_attempts, "issues": e.rows}
+    if e.reason == "extraction_mismatch":
+        papers: dict[int, list[dict]] = {}
+        for r in e.rows:
+            papers.setdefault(r["paper_id"], []).append({"path": r["path"], "message": r["message"]})
+        return {"reason": e.reason, "papers": [{"paper_id": p, "issues": i} for p, i in papers.items()]}
+    return {"reason": e.reason, "unresolved" if e.reason == "unresolved_evidence" else "issues": e.rows}
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     code, payload = run(SparkSession.builder.appName("quillgraph").getOrCreate(), args)

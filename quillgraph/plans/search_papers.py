@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embedders import Embedder
 from ..operators.graph import Graph
-from ..operators.traversal import NeighborhoodTraversal, SearchConfig, TraversalStrategy, graph_candidates, rank_reached
+from ..operators.traversal import NeighborhoodTraversal, SearchConfig, TraversalStrategy, edge_id, graph_candidates, rank_reached
 from ..operators.vectors import check_search_inputs, concepts_to_papers, group_hits, paper_hits, top_items
 from ..sources import corpus, index_store
 
@@ -70,7 +70,9 @@ def search(spark: SparkSession, data_dir: str, queries: Sequence[str], embedder:
     direct_rows = spark.createDataFrame([(r["paper_id"], float(r["best_score"])) for r in grouped], "paper_id bigint, best_score double")
     graph_rows = reached.collect()
     keep = direct_rows.select("paper_id").unionByName(spark.createDataFrame([(r["paper_id"],) for r in graph_rows], "paper_id bigint"))
-    paths_by = {r["paper_id"]: [_path(p.asDict(True), r["paper_id"]) for p in r["paths"]] for r in _paths_of(paths, keep).collect()}
+    found = {r["paper_id"]: [p.asDict(True) for p in r["paths"]] for r in _paths_of(paths, keep).collect()}
+    edges = _edges_of(spark, index.graph, found)
+    paths_by = {paper: [_path(p, paper, edges) for p in listed] for paper, listed in found.items()}
     titles = {r["paper_id"]: r["title"] for r in corpus.paper_ledger(spark, data_dir).join(keep, "paper_id", "left_semi").collect()}
     uris = {r["id"]: r["s3_uri"] for r in corpus.paper_meta(spark, data_dir).select("id", "s3_uri").join(keep.withColumnRenamed("paper_id", "id"), "id", "left_semi").collect()}
     summaries = {r["paper_id"]: r["text"] for r in index.items.where("kind = 'summary'").select("paper_id", "text").join(keep, "paper_id", "left_semi").collect()}
@@ -87,10 +89,19 @@ def search(spark: SparkSession, data_dir: str, queries: Sequence[str], embedder:
     }
 
 
-def _path(p: dict, target: int) -> dict:
-    first, last = p["visited"][0], p["visited"][-1]
+def _edges_of(spark: SparkSession, graph: Graph, found: dict[int, list[dict]]) -> dict:
+    """The stored edges, evidence included, that the candidates' paths stand on, by (paper, concept, relation) or edge id."""
+    ends = {(p["source_paper_id"], p["visited"][0], p["source_relation"]) for ps in found.values() for p in ps} | {(paper, p["visited"][-1], p["target_relation"]) for paper, ps in found.items() for p in ps}
+    hops = {(e,) for ps in found.values() for p in ps for e in p["edges"]}
+    wanted = spark.createDataFrame(sorted(ends), "paper_id bigint, concept_id string, relation string")
+    out: dict = {(r["paper_id"], r["concept_id"], r["relation"]): r.asDict(True) for r in graph.paper_concepts.join(wanted, ["paper_id", "concept_id", "relation"], "left_semi").collect()}
+    between = graph.concept_relations.withColumn("edge_id", edge_id()).join(spark.createDataFrame(sorted(hops), "edge_id string"), "edge_id", "left_semi")
+    return out | {r["edge_id"]: {k: v for k, v in r.asDict(True).items() if k != "edge_id"} for r in between.collect()}
+
+
+def _path(p: dict, target: int, edges: dict) -> dict:
     return {
-        "source_edge": {"paper_id": p["source_paper_id"], "concept_id": first, "relation": p["source_relation"]},
-        "hops": [{"edge": e, "forward": f, "reached_concept_id": c} for e, f, c in zip(p["edges"], p["forward"], p["visited"][1:], strict=True)],
-        "target_edge": {"paper_id": target, "concept_id": last, "relation": p["target_relation"]},
+        "source_edge": edges[p["source_paper_id"], p["visited"][0], p["source_relation"]],
+        "hops": [{"edge": edges[e], "reached_concept_id": c} for e, c in zip(p["edges"], p["visited"][1:], strict=True)],
+        "target_edge": edges[target, p["visited"][-1], p["target_relation"]],
     }

@@ -108,7 +108,11 @@ def test_search(spark, data):
     around = [(c["paper_id"], len(c["paths"]), c["title"], c["s3_uri"]) for c in got["graph_candidates"]]
     # 2: walks and retrieval shared, and each again over both edges between them; 3: reading lists shared
     assert around == [(2, 6, "Dense retrieval", None), (3, 1, "Surveys", "s3://b/3")]
-    assert {p["target_edge"]["paper_id"] for p in got["graph_candidates"][0]["paths"]} == {2}
+    paths = got["graph_candidates"][0]["paths"]
+    assert {p["target_edge"]["paper_id"] for p in paths} == {2}
+    short = next(p for p in paths if not p["hops"] and p["source_edge"]["concept_id"] == "graph-walks")
+    assert short["source_edge"]["evidence"] == [{"page": 1, "quote": "We propose graph walks", "chunk_id": "1:0"}] and short["target_edge"]["evidence"][0]["chunk_id"] == "2:0"
+    assert {p["hops"][0]["edge"]["origin"] for p in paths if p["hops"]} == {"paper", "general_knowledge"}
     assert search(spark, data, ["要約一"], HashEmbedder(), SearchConfig(top_k=1))["graph_candidates"] == []
     assert len(search(spark, data, ["要約一"], HashEmbedder(), SearchConfig(top_k=1, generic_concept_threshold=0.7, max_graph_candidates=1))["graph_candidates"]) == 1
 
@@ -167,6 +171,8 @@ def test_rejections(spark, tmp_path, data):
     with pytest.raises(Rejected) as e:
         build_index(spark, d, HashEmbedder())
     assert e.value.reason == "extraction_mismatch" and e.value.rows == [{"paper_id": 2, "path": "paper_concepts[0].evidence[0].quote", "message": "is not found in the text of page 1"}]
+    code, out = cli.run(spark, cli.parser().parse_args(["build", "--data-dir", d, "--embedder", "fake"]))
+    assert code == cli.INVALID and out == {"status": "invalid", "reason": "extraction_mismatch", "papers": [{"paper_id": 2, "issues": [{"path": "paper_concepts[0].evidence[0].quote", "message": "is not found in the text of page 1"}]}]}
     (tmp_path / "d/papers/0002/extraction.json").write_text(json.dumps(EXTRACTIONS[2]))
     (tmp_path / "d/normalization").mkdir()
     for name in ("concepts", "concept_relations"):
