@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vocabulary import FAMILIES, PAPER_RELATIONS, traversable, vocabulary_table
 from ..operators import chunking, evidence, graph, integrity, items, merging, traversal, vectors
+from ..sources.folders import written
 from . import oracles
 
 PAGE_BUDGET = 64
@@ -364,8 +365,8 @@ def search_flagship(spark, d):
     """The queries' direct papers with their hits, and the graph's candidates with their paths."""
     config, g = _config(spark, d, 1), _graph(spark, d)
     hits = vectors.paper_hits(_top(spark, d, config.top_k), _items(spark, d), vectors.concepts_to_papers(g.paper_concepts))
-    direct = hits.groupBy("paper_id").agg(F.round(F.max("score"), 6).alias("best_score"), F.count(F.lit(1)).alias("n_hits"))
-    counted = traversal.reached_counts(g, direct, load(spark, d, "papers").count(), config)
+    direct = written(hits.groupBy("paper_id").agg(F.round(F.max("score"), 6).alias("best_score"), F.count(F.lit(1)).alias("n_hits")), "direct-papers")
+    counted = written(traversal.reached_counts(g, direct, load(spark, d, "papers").count(), config), "reached-papers")
     around = traversal.graph_candidates(counted, direct, config.max_graph_candidates)
     title = load(spark, d, "papers").select(F.col("id").alias("paper_id"), "title")
     found = direct.join(counted, "paper_id", "left").select(F.lit("direct").alias("kind"), "paper_id", "best_score", "n_hits", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))

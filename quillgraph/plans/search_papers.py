@@ -12,6 +12,7 @@ from ..operators.graph import Graph
 from ..operators.traversal import NeighborhoodTraversal, SearchConfig, TraversalStrategy, edge_id, graph_candidates, rank_reached
 from ..operators.vectors import check_search_inputs, concepts_to_papers, group_hits, paper_hits, top_items
 from ..sources import corpus, index_store
+from ..sources.folders import written
 
 
 class ModelMismatch(ValueError):
@@ -35,9 +36,9 @@ def search_tables(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(hits, direct, paths, reached): hits per paper; direct (paper_id, best_score); all paths; graph candidates (paper_id, n_paths, rank).
 
-    Everything is lazy; the direct papers are at most queries * top_k * papers of a concept.
+    The top items are computed at once, the rest is lazy; the direct papers are at most queries * top_k * papers of a concept.
     """
-    top = top_items(items, query_ids, query_vectors, config.top_k)
+    top = written(top_items(items, query_ids, query_vectors, config.top_k), "top-items")
     hits = paper_hits(top, items, concepts_to_papers(graph.paper_concepts))
     direct = hits.groupBy("paper_id").agg(F.max("score").alias("best_score"))
     paths = (strategy or NeighborhoodTraversal()).traverse(graph, direct, n_papers, config)
