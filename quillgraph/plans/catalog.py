@@ -14,6 +14,7 @@ from ..sources.folders import written
 from . import oracles
 
 PAGE_BUDGET = 64
+_EVIDENCE = "array<struct<page:int,quote:string,chunk_id:string>>"
 
 
 def load(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -63,14 +64,25 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "concepts").select("id", "canonical_name", "type", "aliases", "description").join(n, "id", "left").withColumn("paper_count", F.coalesce("paper_count", F.lit(0)))
 
 
+def _stated_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The stated relations as edges of their papers; evidence has the quotes by which the paper holds either end, without chunks."""
+    stated, keys = _stated(spark, d), ["paper_id", "source_id", "target_id"]
+    quotes = _raw_edges(spark, d).select("paper_id", "concept_id", F.explode("evidence").alias("e")).select("paper_id", "concept_id", "e.page", "e.quote")
+    ends = stated.select(*keys, F.explode(F.array("source_id", "target_id")).alias("concept_id"))
+    found = ends.join(quotes, ["paper_id", "concept_id"]).select(*keys, F.struct("page", "quote", F.lit(None).cast("string").alias("chunk_id")).alias("e"))
+    gathered = found.groupBy(*keys).agg(F.array_sort(F.collect_set("e")).cast(_EVIDENCE).alias("evidence"))
+    return stated.join(gathered, keys, "left").select(
+        "source_id", "target_id", "relation", F.lit("paper").alias("origin"), "paper_id", F.coalesce("evidence", F.array().cast(_EVIDENCE)).alias("evidence"), F.lit(None).cast("string").alias("rationale")
+    )
+
+
 def _graph(spark: SparkSession, d: str) -> graph.Graph:
-    """General edges only, so that hops stay few."""
-    kind = "array<struct<page:int,quote:string,chunk_id:string>>"
-    relations = graph.unstated_general_edges(_general(spark, d), _stated(spark, d)).select(
-        "source_id", "target_id", "relation", F.lit("general_knowledge").alias("origin"), F.lit(None).cast("bigint").alias("paper_id"), F.array().cast(kind).alias("evidence"), "rationale"
+    """What papers state, an edge for each paper, and the general edges that none of them states."""
+    general = graph.unstated_general_edges(_general(spark, d), _stated(spark, d)).select(
+        "source_id", "target_id", "relation", F.lit("general_knowledge").alias("origin"), F.lit(None).cast("bigint").alias("paper_id"), F.array().cast(_EVIDENCE).alias("evidence"), "rationale"
     )
     papers = load(spark, d, "papers").select(F.col("id").alias("paper_id"), F.lit(0).alias("corpus_pos"))
-    return graph.Graph(papers, _nodes(spark, d), _edges(spark, d), relations)
+    return graph.Graph(papers, _nodes(spark, d), _edges(spark, d), _stated_edges(spark, d).unionByName(general))
 
 
 def _config(spark: SparkSession, d: str, max_hops: int | None = None) -> traversal.SearchConfig:
