@@ -365,20 +365,20 @@ def traverse_2hop(spark, d):
 
 
 def reached_papers(spark, d):
-    return traversal.reached_counts(_graph(spark, d), _sources(spark, d), load(spark, d, "papers").count(), _config(spark, d, 1))
+    return traversal.reached_papers(_graph(spark, d), _sources(spark, d), load(spark, d, "papers").count(), _config(spark, d))
 
 
 def graph_candidates(spark, d):
-    s = _sources(spark, d)
-    return traversal.graph_candidates(traversal.reached_counts(_graph(spark, d), s, load(spark, d, "papers").count(), _config(spark, d, 1)), s, _config(spark, d).max_graph_candidates)
+    s, config = _sources(spark, d), _config(spark, d)
+    return traversal.graph_candidates(traversal.reached_papers(_graph(spark, d), s, load(spark, d, "papers").count(), config), s, config.max_graph_candidates)
 
 
 def search_flagship(spark, d):
     """The queries' direct papers with their hits, and the graph's candidates with their paths."""
-    config, g = _config(spark, d, 1), _graph(spark, d)
+    config, g = _config(spark, d), _graph(spark, d)
     hits = vectors.paper_hits(_top(spark, d, config.top_k), _items(spark, d), vectors.concepts_to_papers(g.paper_concepts))
     direct = written(hits.groupBy("paper_id").agg(F.round(F.max("score"), 6).alias("best_score"), F.count(F.lit(1)).alias("n_hits")), "direct-papers")
-    counted = written(traversal.reached_counts(g, direct, load(spark, d, "papers").count(), config), "reached-papers")
+    counted = written(traversal.reached_papers(g, direct, load(spark, d, "papers").count(), config), "reached-papers")
     around = traversal.graph_candidates(counted, direct, config.max_graph_candidates)
     title = load(spark, d, "papers").select(F.col("id").alias("paper_id"), "title")
     found = direct.join(counted, "paper_id", "left").select(F.lit("direct").alias("kind"), "paper_id", "best_score", "n_hits", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
