@@ -23,9 +23,11 @@ from .common import shared_folder
 KNOWN_FROM, EXPLAINS = 2, 0.8
 #: A fixed length is a source's field limit if at least this many and this share of its texts end there.
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.02
+#: Words of a line that may be a term by itself.
+SHORT = 3
 #: Kinds of an end that are cut by themselves, and kinds for which the baseline decides.
 BY_ITSELF = ("mark", "broken", "open", "prose", "cut_code", "cut_reference")
-BY_TAIL = ("list", "keywords", "title", "signature", "status")
+BY_TAIL = ("list", "keywords", "title", "signature", "status", "term")
 
 _CLOSED = re.compile(r"[.!?。！？؟।][\"'”’」』»)\]}*_]*$")
 #: The signs by which sources mark a cut.
@@ -42,6 +44,8 @@ _FORMULA = re.compile(r"^[\w(),\s]{1,24}=\s*\S|^\s*\$\$|\\\]$|\\end\{\w+\*?\}$")
 _SENTENCE_END = re.compile(r"[.!?。！？][\"'”’」』)\]]*(?:\s|(?<=[。！？])|(?<=[。！？][」』]))")
 _OPEN, _CLOSE = "([{“「『«„", ")]}”」』»"
 _PAIR = dict(zip(_CLOSE, _OPEN, strict=False))
+#: What stands for a text that isn't there; so does a text without letters.
+_PLACEHOLDER = re.compile(r"(?:[\W\d_]*|tb[acd]|todo|n/?a|none|null|nil|nan|unknown|untitled|empty|abstract|summary|(?:no|not) (?:abstract|text|available|applicable)|to be (?:added|announced|confirmed|done)|coming soon)\s*:?", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 
@@ -137,8 +141,10 @@ def examine(text: str | None) -> tuple[str, str]:
     if _SENTENCE_END.search(last):
         return "prose", ""
     words = last.split()
-    if len(lines) == 1 and len(words) <= 3 and not _CJK.search(last):
+    if len(lines) == 1 and _PLACEHOLDER.fullmatch(last.strip()):
         return "placeholder", ""
+    if len(lines) == 1 and len(words) <= SHORT and not _CJK.search(last) and (_title_like(last) or not last.lstrip()[:1].isupper()) and not unclosed(last) and last[-1] not in ",;:-–—":
+        return "term", " ".join(words).lower()
     if _title_like(last) and not unclosed(last) and last[-1] not in ",;:-–—":
         return "title", _last_word(last)
     return "prose", ""
@@ -159,7 +165,7 @@ def _code_ends(last: str) -> bool:
 
 
 def baseline_of(text: str | None) -> Counter:
-    """(kind, tail) of the lines of a text that are surely whole, as the text goes on after them."""
+    """(kind, tail) of the lines of a text that are surely whole, as the text goes on after them; a term is a tail of entries and keywords."""
     found: Counter = Counter()
     if not text:
         return found
@@ -181,6 +187,10 @@ def baseline_of(text: str | None) -> Counter:
         for x in re.split(r"[,;、]\s*", _KEYWORDS.sub("", lines[-1]))[:-1]:
             if x.strip():
                 found["keywords", _tail(x)] += 1
+    # a short text is whole if it is a term that the corpus lists
+    for (kind, tail), n in list(found.items()):
+        if kind in ("list", "keywords") and len(tail.split()) <= SHORT:
+            found["term", tail] += n
     return found
 
 

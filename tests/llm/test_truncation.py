@@ -56,3 +56,10 @@ def test_shares(spark):
 
 def test_very_long_text():
     assert examine("A sentence here. " * 50_000 + "And thi")[0] == "prose"
+
+
+def test_short_texts_are_whole_if_they_are_placeholders_or_terms_the_corpus_lists(spark):
+    listed = [(BODY + "- graph walker\n- late graph walker\n- sparse index\n- index\n\nDone now.", "a")] * 3
+    short = ["TBD", "n/a", "Graph walker", "index", "The encoder gro", "We propose a", "graph wal", "late graph", None]
+    rows = {r["doc_id"] - 3: r["cut"] for r in examined_texts(table(spark, listed + [(t, "b") for t in short])).where("doc_id > 2").collect()}
+    assert [rows[n] for n in range(len(short))] == [False, False, False, False, True, True, True, True, False]
