@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 
 class GraphError(ValueError):
-    """The graph can't be built; rows has what is wrong."""
+    """The graph can't be built; rows names the first of what is wrong, total counts it all."""
 
-    def __init__(self, message: str, rows: list):
-        super().__init__(f"{message}: {', '.join(map(str, rows[:5]))}" + (f" and {len(rows) - 5} more" if len(rows) > 5 else ""))
-        self.rows = rows
+    def __init__(self, message: str, rows: list, total: int | None = None):
+        self.rows, self.total = rows, len(rows) if total is None else total
+        super().__init__(f"{message}: {', '.join(map(str, rows[:5]))}" + (f" and {self.total - 5} more" if self.total > 5 else ""))
 
 
 @dataclass(frozen=True)
@@ -92,8 +92,8 @@ def build_graph(papers: DataFrame, concepts: DataFrame, paper_concepts: DataFram
     edges = with_slugs(paper_concepts, bridge, {"local_id": "concept_id"})
     relations = with_slugs(concept_relations, bridge, {"source_local": "source_id", "target_local": "target_id"})
     lost = edges.where("concept_id is null").select("paper_id", "relation").unionByName(relations.where("source_id is null or target_id is null").select("paper_id", "relation"))
-    if rows := lost.limit(20).collect():
-        raise GraphError("edges of concepts that are in no normalized concept", [tuple(r) for r in rows])
+    if rows := lost.orderBy("paper_id", "relation").limit(20).collect():
+        raise GraphError("edges of concepts that are in no normalized concept", [tuple(r) for r in rows], lost.count())
     kept = relations.where("source_id <> target_id")
     node_edges = collapse_edges(_with_chunks(edges, chunk_evidence), ["paper_id", "concept_id", "relation"])
     stated = collapse_edges(_with_chunks(kept, chunk_evidence), ["source_id", "target_id", "relation", "paper_id"])
@@ -110,8 +110,9 @@ def _with_chunks(edges: DataFrame, chunk_evidence: DataFrame) -> DataFrame:
     keys = [c for c in edges.columns if c not in ("evidence",)]
     rows = edges.select(*keys, F.posexplode("evidence").alias("n", "e")).select(*keys, "n", "e.page", "e.quote")
     joined = rows.join(chunk_evidence.select("paper_id", "page", "quote", "chunk_id"), ["paper_id", "page", "quote"], "left")
-    if lost := joined.where("chunk_id is null").select("paper_id", "page", "quote").limit(20).collect():
-        raise GraphError("quotes without chunk", [tuple(r) for r in lost])
+    lost = joined.where("chunk_id is null").select("paper_id", "page", "quote")
+    if rows := lost.orderBy("paper_id", "page", "quote").limit(20).collect():
+        raise GraphError("quotes without chunk", [tuple(r) for r in rows], lost.count())
     return joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", F.struct("page", "quote", "chunk_id").alias("e")))).alias("x")).select(*keys, F.transform("x", lambda v: v["e"]).alias("evidence"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +15,16 @@ from ..operators.graph import build_graph
 from ..operators.items import embedding_items, numbered
 from ..operators.merging import check_normalization
 from ..sources import corpus, index_store
+from ..sources.folders import shared_folder
 
 
 class Rejected(ValueError):
-    """The input can't be built on; reason is a code, rows are all findings."""
+    """The input can't be built on; reason is a code, rows are the findings, all of them or the first of total."""
 
     def __init__(self, reason: str, rows: list[dict]):
-        super().__init__(f"{reason}: {len(rows)} findings")
         self.reason, self.rows = reason, rows
+        self.total, self.table = getattr(rows, "total", len(rows)), getattr(rows, "table", None)
+        super().__init__(f"{reason}: {self.total} findings" + (f", all in {self.table}" if self.table else ""))
 
 
 class MissingExtractions(ValueError):
@@ -54,9 +57,31 @@ def read_corpus(spark: SparkSession, data_dir: str) -> Corpus:
     return Corpus(ledger, meta, pages.join(listed, "paper_id", "left_semi"), corpus.flatten_extractions(rows))
 
 
-def findings(df: DataFrame, most: int = 10_000) -> list[dict]:
-    """Findings for a report; the report names at most `most`."""
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+class Findings(list):
+    """The findings a report names; total counts all of them, and table has them all where there are more than named."""
+
+    def __init__(self, rows: Iterable[dict] = (), total: int | None = None, table: str | None = None):
+        super().__init__(rows)
+        self.total, self.table = len(self) if total is None else total, table
+
+    def each(self, f: Callable[[dict], dict]) -> Findings:
+        """The findings in another form, with the same total."""
+        return Findings(map(f, self), self.total, self.table)
+
+    def __add__(self, other: list[dict]) -> Findings:
+        tables = [t for t in (self.table, getattr(other, "table", None)) if t]
+        return Findings([*self, *other], self.total + getattr(other, "total", len(other)), ", ".join(tables) or None)
+
+
+def findings(df: DataFrame, most: int = 10_000) -> Findings:
+    """Findings for a report. Of more than `most` the report names the first by their columns, and all are written to a table."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) <= most:
+        return Findings(r.asDict(recursive=True) for r in rows)
+    path = shared_folder(df.sparkSession, "findings")
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    return Findings((r.asDict(recursive=True) for r in kept.orderBy(*kept.columns).limit(most).collect()), kept.count(), path)
 
 
 def build_index(spark: SparkSession, data_dir: str, embedder: Embedder, max_tokens: int = DEFAULT_MAX_TOKENS, tokenizer: Tokenizer | None = None) -> dict[str, int]:

@@ -97,7 +97,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[int, dict]:
     except ModelMismatch as e:
         return INVALID, {"status": "invalid", "reason": "embedding_model_mismatch", "index_model": e.index_model, "embedder_model": e.embedder_model, "message": str(e)}
     except Rejected as e:
-        return INVALID, {"status": "invalid"} | _rejection(args, e)
+        more = {"total": e.total, "all_findings": e.table} if e.table else {}
+        return INVALID, {"status": "invalid"} | _rejection(args, e) | more
     except (corpus.SourceError, AgentError, EmbeddingError, GraphError, ValueError) as e:
         return ERROR, {"status": "error", "message": str(e)}
 

@@ -24,12 +24,12 @@ def validate_extraction(spark: SparkSession, data_dir: str, paper_id: int, paylo
     tables = corpus.flatten_extractions(rows)
     tables["papers"] = tables["papers"].withColumn("asked_id", F.lit(paper_id).cast("bigint"))
     if found := findings(check_extraction_tables(tables)):
-        return [{"path": f["key"], "message": f["message"]} for f in found]
+        return found.each(lambda f: {"path": f["key"], "message": f["message"]})
     meta, pages = corpus.papers(spark, data_dir)
     own = F.lit(payload["paper_id"]).cast("bigint")  # quotes are held against the asked paper
     pages = pages.where(F.col("paper_id") == paper_id).withColumn("paper_id", own)
     counts = meta.where(F.col("id") == paper_id).select(own.alias("paper_id"), "page_count")
-    return [{"path": f["path"], "message": f["message"]} for f in findings(check_extractions(tables, pages, counts))]
+    return findings(check_extractions(tables, pages, counts)).each(lambda f: {"path": f["path"], "message": f["message"]})
 
 
 def extract(spark: SparkSession, data_dir: str, paper_id: int, agent: StructuredAgent, max_attempts: int = 3) -> dict:

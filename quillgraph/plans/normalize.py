@@ -22,7 +22,7 @@ from ..operators.vectors import candidate_pairs
 from ..sources import corpus, schemas
 from . import prompts
 from .agents import StructuredAgent, json_schema
-from .build_index import Rejected, findings, read_corpus
+from .build_index import Findings, Rejected, findings, read_corpus
 
 _REFS = "array<struct<paper_id:bigint,local_id:string>>"
 GROUPING = f"groups array<{_REFS}>"
@@ -84,7 +84,7 @@ def _normalize(spark, data_dir, agent, embedder, c, concepts, neighbors, max_att
         refs = [(n, m, r["paper_id"], r["local_id"]) for n, g in enumerate(payload["groups"]) for m, r in enumerate(g)]
         rows = spark.createDataFrame([(f"groups[{n}][{m}]", p, i, n) for n, m, p, i in refs], "path string, paper_id bigint, local_id string, group_id int")
         sizes = spark.createDataFrame([(n, len(g)) for n, g in enumerate(payload["groups"])], "group_id int, n int")
-        form = [{"path": f"groups[{f['key']}]" if f["rule"] == "group_size" else f["key"], "message": f["message"]} for f in findings(integrity.check_grouping(rows, sizes))]
+        form = findings(integrity.check_grouping(rows, sizes)).each(lambda f: {"path": f"groups[{f['key']}]" if f["rule"] == "group_size" else f["key"], "message": f["message"]})
         return form or findings(merging.unknown_refs(rows, concepts))
 
     grouping, grouping_attempts = ask("grouping", agent, lambda p, i: prompts.grouping_prompt(listed, pairs, p, i), GROUPING, check_groups, max_attempts)
@@ -117,7 +117,7 @@ def _normalize(spark, data_dir, agent, embedder, c, concepts, neighbors, max_att
     def check_proposal(payload: dict) -> list[dict]:
         rows = spark.createDataFrame([(n, e["source_id"], e["target_id"], e["relation"], e.get("rationale")) for n, e in enumerate(payload["concept_relations"])], "pos int, source_id string, target_id string, relation string, rationale string")
         own = integrity.check_normalized(vocabulary, rows).where("rule in ('general_unique', 'general_self', 'general_rationale')")
-        return [{"path": f["key"], "message": f["message"]} for f in findings(own)] + findings(merging.check_relations(rows, vocabulary, stated))
+        return findings(own).each(lambda f: {"path": f["key"], "message": f["message"]}) + findings(merging.check_relations(rows, vocabulary, stated))
 
     proposal, relation_attempts = ask("relations", agent, lambda p, i: prompts.relations_prompt(merged, known, p, i), PROPOSAL, check_proposal, max_attempts)
     fields = ("id", "canonical_name", "type", "aliases", "description", "merged_from")
@@ -140,7 +140,7 @@ def _answer(spark, agent, pending, by_ref, max_attempts, concurrency):
             world = spark.createDataFrame([(n, x["paper_id"], x["local_id"], x["type"]) for x in members], "group_id int, paper_id bigint, local_id string, type string")
             refs_of = rows.select(F.explode("merged_from").alias("r")).select("r.*")
             twice = findings(integrity.repeated(refs_of, "one_owner", ["paper_id", "local_id"], "several concepts own it"))
-            return [{"path": f["key"], "message": f["message"]} for f in twice] or [{"path": f["path"], "message": f["message"]} for f in findings(merging.check_group_merge(rows, world))]
+            return twice.each(lambda f: {"path": f["key"], "message": f["message"]}) or findings(merging.check_group_merge(rows, world)).each(lambda f: {"path": f["path"], "message": f["message"]})
 
         payload, attempts = ask("merge", agent, lambda p, i: prompts.merge_prompt(members, p, i), MERGE, check, max_attempts)
         return payload["concepts"], attempts
@@ -152,7 +152,8 @@ def _answer(spark, agent, pending, by_ref, max_attempts, concurrency):
             try:
                 found, attempts = future.result()
             except Rejected as e:
-                failure = failure or Rejected("merge", [{"path": f"groups[{n}].{i['path']}", "message": i["message"]} for i in e.rows])
+                rows = [{"path": f"groups[{n}].{i['path']}", "message": i["message"]} for i in e.rows]
+                failure = failure or Rejected("merge", Findings(rows, e.total, e.table))
                 continue
             calls += attempts
             out[n] = (out[n][0], found)
