@@ -55,7 +55,10 @@ _PARTS = {
     "it": (("ec",), f"SELECT v.row_idx, ['chunk', 'summary', 'concept'][v.row_idx % 3 + 1] AS kind, {_slug('e.name')} AS slug, v.paper_id FROM concept_vectors v LEFT JOIN ec e ON e.paper_id = v.paper_id AND e.local_id = v.local_id"),
     "hits": (("tk", "it", "c2p"), "SELECT t.query_id, t.row_idx, t.score, i.paper_id FROM tk t JOIN it i ON i.row_idx = t.row_idx WHERE i.kind <> 'concept' UNION ALL SELECT t.query_id, t.row_idx, t.score, c.paper_id FROM tk t JOIN it i ON i.row_idx = t.row_idx JOIN c2p c ON c.concept_id = i.slug WHERE i.kind = 'concept'"),
     "ed": (("pc",), "SELECT pc.* FROM pc, search_config s WHERE list_contains(s.paper_relations, pc.relation)"),
-    "hop": (("gk", "elig"), "SELECT a.* FROM (SELECT source_id AS from_id, target_id AS reached_id, source_id || '|' || relation || '|' || target_id || '|general_knowledge' AS edge_id, relation FROM gk UNION ALL SELECT target_id, source_id, source_id || '|' || relation || '|' || target_id || '|general_knowledge', relation FROM gk) a, search_config s WHERE list_contains(s.concept_relations, a.relation) AND a.reached_id IN (SELECT concept_id FROM elig)"),
+    # every edge between concepts: one for each paper that states it, and the general ones that none states
+    "ce": (("gk", "st"), "SELECT source_id, target_id, relation, 'paper' AS origin, paper_id FROM st UNION ALL SELECT source_id, target_id, relation, 'general_knowledge', NULL FROM gk"),
+    "ways": (("ce",), "SELECT source_id AS from_id, target_id AS reached_id, concat_ws('|', source_id, relation, target_id, origin, paper_id) AS edge_id, relation FROM ce UNION ALL SELECT target_id, source_id, concat_ws('|', source_id, relation, target_id, origin, paper_id), relation FROM ce"),
+    "hop": (("ways", "elig"), "SELECT w.* FROM ways w, search_config s WHERE list_contains(s.concept_relations, w.relation) AND w.reached_id IN (SELECT concept_id FROM elig)"),
     "src": ((), "SELECT id AS paper_id FROM papers WHERE id % 50 = 0"),
     "dir": (("hits",), "SELECT paper_id, round(max(score), 6) AS best_score, count(*) AS n_hits FROM hits GROUP BY 1"),
     "cmp": ((), "SELECT unnest([l, r]) AS slug, least(l, r) || '~' || greatest(l, r) AS group_id FROM (SELECT left_ref.paper_id || ':' || left_ref.local_id AS l, right_ref.paper_id || ':' || right_ref.local_id AS r FROM candidate_pairs WHERE left_ref IS NOT NULL AND right_ref IS NOT NULL)"),
@@ -136,7 +139,7 @@ def statements(families: dict, relations: tuple[str, ...], budget: int) -> dict[
         "relation_conflicts": _with("SELECT 'repeats what ' || CASE WHEN count(DISTINCT paper_id) = 1 THEN 'paper ' || array_to_string(list_sort(list(DISTINCT paper_id)), ', ') || ' states' ELSE 'papers ' || array_to_string(list_sort(list(DISTINCT paper_id)), ', ') || ' state' END || ': ' || st.source_id || ' ' || st.relation || ' ' || st.target_id AS message FROM st JOIN gen USING (source_id, target_id, relation) GROUP BY st.source_id, st.relation, st.target_id", "st", "gen"),
         "paper_edges_collapsed": _with("SELECT k.paper_id, k.concept_id, k.relation, CAST(count(x.e) AS INTEGER) AS n_evidence, coalesce(string_agg(x.t, chr(10) ORDER BY x.t), '') AS quotes FROM pc k LEFT JOIN (SELECT DISTINCT paper_id, concept_id, relation, e, e.page || '|' || e.quote AS t FROM (SELECT paper_id, concept_id, relation, unnest(evidence) AS e FROM raw)) x ON x.paper_id = k.paper_id AND x.concept_id = k.concept_id AND x.relation = k.relation GROUP BY ALL", "pc"),
         "concepts_to_papers": _with("SELECT * FROM c2p", "c2p"),
-        "graph_edges": _with("SELECT 'paper:' || paper_id AS source, concept_id AS target, relation AS key FROM pc UNION ALL SELECT source_id, target_id, relation || ':general_knowledge' FROM gk", "pc", "gk"),
+        "graph_edges": _with("SELECT 'paper:' || paper_id AS source, concept_id AS target, relation AS key FROM pc UNION ALL SELECT source_id, target_id, concat_ws(':', relation, origin, paper_id) FROM ce", "pc", "ce"),
         "graph_violations": _with(
             "SELECT rule, count(*) AS n, array_to_string(list_sort(list(key))[1:5], ', ') AS named FROM ("
             "SELECT 'edge_paper' AS rule, CAST(paper_id AS VARCHAR) AS key FROM (SELECT DISTINCT paper_id FROM pc) WHERE paper_id NOT IN (SELECT id FROM papers)"
@@ -144,10 +147,11 @@ def statements(families: dict, relations: tuple[str, ...], budget: int) -> dict[
             " UNION ALL SELECT 'concept_slug', id FROM concepts WHERE NOT regexp_full_match(id, '[a-z0-9]+(-[a-z0-9]+)*')"
             f" UNION ALL SELECT 'concept_type', id FROM concepts WHERE type IS NULL OR type NOT IN ({types})"
             " UNION ALL SELECT 'edge_relation', paper_id || '|' || concept_id FROM pc WHERE relation IS NULL OR relation NOT IN ('proposes', 'uses', 'addresses', 'mentions')"
-            " UNION ALL SELECT 'concept_count', id FROM nodes WHERE paper_count > (SELECT count(*) FROM papers)) GROUP BY 1", "pc", "nodes"),
+            " UNION ALL SELECT 'relation_origin', source_id || '|' || relation || '|' || target_id FROM st WHERE NOT EXISTS (SELECT 1 FROM raw WHERE raw.paper_id = st.paper_id AND raw.concept_id IN (st.source_id, st.target_id) AND len(raw.evidence) > 0)"
+            " UNION ALL SELECT 'concept_count', id FROM nodes WHERE paper_count > (SELECT count(*) FROM papers)) GROUP BY 1", "pc", "nodes", "st"),
         "extraction_violations": f"SELECT DISTINCT rule, key FROM (SELECT 'local_unique' AS rule, paper_id || '|' || local_id AS key FROM extracted_concepts GROUP BY paper_id, local_id HAVING count(*) > 1 UNION ALL SELECT 'local_name', paper_id || '|' || local_id FROM extracted_concepts WHERE coalesce({_strip('name')}, '') = '' UNION ALL SELECT 'local_type', paper_id || '|' || local_id FROM extracted_concepts WHERE type IS NULL OR type NOT IN ({types}))",
         "index_consistency": "WITH m AS (SELECT DISTINCT index_id, unnest(paper_ids) AS paper_id FROM index_manifests) SELECT index_id, paper_id, 'paper isn''t declared' AS problem FROM m WHERE paper_id NOT IN (SELECT id FROM papers) UNION ALL SELECT NULL, id, 'paper is in no index' FROM papers WHERE id NOT IN (SELECT paper_id FROM m)",
-        "build_counts": _with("SELECT 'papers' AS what, count(*) AS n FROM papers UNION ALL SELECT 'chunks', count(*) FROM ch UNION ALL SELECT 'concepts', count(*) FROM concepts UNION ALL SELECT 'paper_concepts', count(*) FROM pc UNION ALL SELECT 'concept_relations', count(*) FROM gk UNION ALL SELECT 'merged_concepts', count(*) FROM normalized_concepts WHERE len(merged_from) > 1", "ch", "pc", "gk", budget=budget),
+        "build_counts": _with("SELECT 'papers' AS what, count(*) AS n FROM papers UNION ALL SELECT 'chunks', count(*) FROM ch UNION ALL SELECT 'concepts', count(*) FROM concepts UNION ALL SELECT 'paper_concepts', count(*) FROM pc UNION ALL SELECT 'concept_relations', count(*) FROM ce UNION ALL SELECT 'merged_concepts', count(*) FROM normalized_concepts WHERE len(merged_from) > 1", "ch", "pc", "ce", budget=budget),
         "embedding_items": _with(
             "SELECT row_number() OVER (ORDER BY k, a, b) - 1 AS row_idx, kind, ref, paper_id, md5(text) AS text_md5 FROM (SELECT 0 AS k, 'chunk' AS kind, id AS ref, paper_id, text, paper_id AS a, idx AS b FROM ch UNION ALL SELECT 1, 'summary', CAST(id AS VARCHAR), id, title, id, 0 FROM papers"
             " UNION ALL SELECT 2, 'concept', id, NULL, canonical_name || CASE WHEN len(aliases) > 0 THEN ' (' || array_to_string(aliases, ', ') || ')' ELSE '' END || CASE WHEN coalesce(description, '') <> '' THEN chr(10) || description ELSE '' END, row_number() OVER (ORDER BY id), 0 FROM normalized_concepts)", "ch", budget=budget),
