@@ -3,8 +3,12 @@
 A page is converted construct by construct: code and formulas are set aside first, so that nothing inside
 them is taken for markup, then HTML, LaTeX, wiki and Markdown constructs become plain text that keeps
 headings, lists, code, formulas, tables and the figure and equation markers. Each conversion notes its
-syntax. Of what is left, the line-block distribution (text lengths summed over a sliding window of lines)
-locates surges and dives; text between them is kept, and so is every structural line.
+syntax, and constructs of one syntax never turn into those of another: list items and headings made of HTML
+or LaTeX carry marks of their own until the end. A construct may be as long as its paragraph.
+
+Of what is left, the line-block distribution locates the body: text lengths, navigation links left out, are
+summed over a sliding window of lines; a surge opens a stretch of text, a dive ends it, and what lies between
+them is kept. Outside stand menus and template remains, which are dropped; structural lines always stay.
 """
 
 from __future__ import annotations
@@ -19,8 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 FAMILIES = ("html", "markdown", "wiki", "latex")
-#: Lines in a window; text length from which a window is a surge.
+#: Lines in a window, blank ones not counted; text length (letters and digits) from which a window is a surge.
 WINDOW, SURGE = 3, 2
+#: Own marks in a text under conversion, taken out of the input: a set-aside part, a heading, an item, a link.
+_PART, _END, _HEAD, _ITEM, _LINK, _LINKED = "\x02", "\x03", "\x04", "\x05", "\x06", "\x07"
+_UNMARKED = dict.fromkeys(range(2, 8))
+#: Text up to a paragraph's end that holds none of the given signs: one pass, no way back.
+_SPAN = r"(?:[^{0}\n]++|\n(?!\s*\n))"
 
 #: The element names of HTML.
 TAGS = (
@@ -29,7 +38,8 @@ TAGS = (
     "meta nav noscript object ol optgroup option p param pre q ref rp rt ruby samp script section select small span strike strong style sub "
     "summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video"
 )
-_TAG = re.compile(rf"<(/?)({'|'.join(TAGS.split())})((?:\s[^<>]*)?)/?>", re.I)
+# elements that show nothing without attributes, written bare, are placeholders of a vocabulary
+_TAG = re.compile(rf"<(?!(?:input|img|link|meta|param|iframe|object)>)(/?)({'|'.join(TAGS.split())})((?:\s[^<>]*)?)/?>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _MARKER = re.compile(r"(?m)^[^\S\n]*<!-- (figure|equation): (\d+) -->[^\S\n]*$")
 _COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>", re.S | re.I)
@@ -41,12 +51,12 @@ _CODE = re.compile(
     r"|(?P<source><(?P<tag>syntaxhighlight|source|nowiki)\b[^>]*>(?P<listing>.*?)</(?P=tag)\s*>)"
     r"|(?P<verbatim>\\begin\{(?P<env>verbatim\*?|lstlisting|minted|alltt)\}(?:\[[^\]\n]*\])?(?P<text>.*?)(?:\\end\{(?P=env)\}|\Z))"
     r"|(?P<html><code\b[^>]*>(?P<short>.*?)</code\s*>)"
-    r"|(?P<inline>(?<![`\\])`(?!`)(?P<span>(?:[^`\n]|\n(?!\s*\n)){1,300}?)(?<!`)`(?!`))",
+    r"|(?P<inline>(?<![`\\])`(?!`)(?P<span>" + _SPAN.format("`") + r"++)`(?!`))",
     re.S | re.M | re.I,
 )
 _MATH = re.compile(
-    r"\$\$(?P<a>.+?)\$\$|(?<!\\)\\\[(?P<b>.+?)\\\]|\\begin\{(?P<env>equation\*?|align\*?|gather\*?|multline\*?|eqnarray\*?|displaymath|math)\}(?P<c>.*?)(?:\\end\{(?P=env)\}|\Z)"
-    r"|\\\((?P<d>[^\n]+?(?:\n[^\n]+?)?)\\\)|(?<![\\$\w])\$(?![\s\d$])(?P<e>(?:[^$\n]|\n(?!\s*\n)){0,200}?[^\s\\$])\$(?![\w$])|(?<![\\$\w])\$(?P<f>\d[^$\n]{0,80}?[\\^_][^$\n]{0,80}?)\$(?![\w$])",
+    r"\$\$(?P<a>.+?)\$\$|(?<!\\)\\\[(?P<b>(?:(?!\\\[).)+?)\\\]|\\begin\{(?P<env>equation\*?|align\*?|gather\*?|multline\*?|eqnarray\*?|displaymath|math)\}(?P<c>.*?)(?:\\end\{(?P=env)\}|\Z)"
+    r"|\\\((?P<d>(?:(?!\\[()])[^\n]|\n(?!\s*\n))+)\\\)|(?<![\\$\w])\$(?![\s\d$])(?P<e>" + _SPAN.format("$") + r"++)(?<![\s\\])\$(?![\w$])|(?<![\\$\w])\$(?P<f>\d(?=[^$\n]*[\\^_])[^$\n]*+)(?<!\s)\$(?![\w$])",
     re.S,
 )
 _LATEX_ENV = re.compile(r"\\(?:begin|end)\{[a-zA-Z]+\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
@@ -65,7 +75,7 @@ _WIKI_MAGIC = re.compile(r"(?<!\w)__[A-Z]{3,}__(?!\w)")
 _WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]+)\]\]")
 _WIKI_TEMPLATE = re.compile(r"\{\{(?=[^\W\d_]|#|:)[^{}]*\}\}")
 _WIKI_EXTERNAL = re.compile(r"(?<!\])\[(?:https?|ftp)://[^\s\]]+\s+([^\]\n]+)\](?!\()")
-_WIKI_QUOTES = re.compile(r"(?<!['`\w])('{2,5})(?!['\s])((?:[^'\n]|'(?!')|\n(?!\s*\n)){1,300}?)(?<!\s)\1(?!')")
+_WIKI_QUOTES = re.compile(r"(?<!['`\w])('{2,5})(?!['\s])((?:[^'\n]++|'(?!')|\n(?!\s*\n))++)(?<!\s)\1(?!')")
 
 _BULLET = re.compile(r"^(\s*)([-*+])[^\S\n]+(?=\S)(?:\[[ xX]\][^\S\n]+)?")
 _ORDERED = re.compile(r"^\s{0,3}(\d{1,3})[.)][^\S\n]+(?=\S)")
@@ -75,15 +85,16 @@ _UNDERLINE = re.compile(r"^\s{0,3}(?:={3,}|-{3,})\s*$")
 _RULE = re.compile(r"^\s{0,3}(?:(?:-\s?){3,}|(?:\*\s?){3,}|(?:_\s?){3,})\s*$")
 _MD_ROW = re.compile(r"^\s*\|.*\|\s*$")
 _MD_LINE = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?\s*$")
-_MD_IMAGE = re.compile(r"!\[([^\[\]]{0,300})\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
-_MD_LINK = re.compile(r"(?<!\[)\[([^\[\]]{1,300})\]\([^()\s]+(?:\s+\"[^\"]*\")?\)|(?<!\[)\[([^\[\]]{1,300})\]\[[^\[\]\s]+\]")
+_MD_IMAGE = re.compile(r"!\[(" + _SPAN.format(r"\[\]") + r"*+)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
+_MD_LINK = re.compile(r"(?<!\[)\[(" + _SPAN.format(r"\[\]") + r"++)\](?:\([^()\s]+(?:\s+\"[^\"]*\")?\)|\[[^\[\]\s]+\])")
 _MD_DEFINITION = re.compile(r"(?m)^\s{0,3}\[(?!\^)[^\[\]\n]+\]:[^\S\n]+\S+[^\S\n]*$")
 _MD_NOTE = re.compile(r"\[\^[^\s\[\]]+\](:[^\S\n]*)?")
 _MD_URL = re.compile(r"<(?:https?://|mailto:)[^<>\s]+>")
-_SPAN = r"(?:[^{0}\n]|\n(?!\s*\n)){{1,300}}?"
-_MD_STARS = re.compile(r"(?<![\w*\\])(\*{1,3})(?![\s*])(" + _SPAN.format("*") + r")(?<![\s*])\1(?![\w*])")
-_MD_UNDERS = re.compile(r"(?<![\w\\])(_{1,3})(?![\s_])((?:[^_\n]|(?<=\w)_(?=\w)|\n(?!\s*\n)){1,300}?)(?<![\s_])\1(?!\w)")
-_MD_STRIKE = re.compile(r"(?<!~)~~(?![\s~])(" + _SPAN.format("~") + r")(?<![\s~])~~(?!~)")
+_MD_STARS = re.compile(r"(?<![\w*\\])(\*{1,3})(?![\s*])(" + _SPAN.format("*") + r"++)(?<![\s*])\1(?![\w*])")
+# two underscores around one word are an identifier
+_MD_UNDERS = re.compile(r"(?<![\w\\])(_{1,3})(?![\s_])((?:[^_\n]++|(?<=[^\W_])_(?=[^\W_])|\n(?!\s*\n))++)(?<![\s_])\1(?!\w)")
+_DUNDER = re.compile(r"__\w+?__(?!\w)")
+_MD_STRIKE = re.compile(r"(?<!~)~~(?![\s~])(" + _SPAN.format("~") + r"++)(?<![\s~])~~(?!~)")
 
 
 class _Page:
@@ -96,14 +107,20 @@ class _Page:
 
     def keep(self, kind: str, text: str) -> str:
         self.aside.append((kind, text))
-        return f"\x02{len(self.aside) - 1}\x03"
+        return f"{_PART}{len(self.aside) - 1}{_END}"
 
-    def sub(self, pattern: re.Pattern, family: str, to) -> None:
-        """Replaces each construct and notes its syntax."""
+    def sub(self, pattern: re.Pattern, family: str, to) -> bool:
+        """Replaces each construct and notes its syntax; whether there was one."""
         text, n = pattern.subn(to, self.text)
         if n:
             self.seen.add(family)
             self.text = text
+        return n > 0
+
+    def nested(self, pattern: re.Pattern, family: str, to) -> None:
+        """The same from the inside out, until none is left."""
+        while self.sub(pattern, family, to):
+            pass
 
 
 def _set_aside(page: _Page) -> None:
@@ -151,14 +168,16 @@ def _html(page: _Page) -> None:
 
     def tag(m: re.Match) -> str:
         name = m[2].lower()
+        if name == "a":
+            return _LINKED if m[1] else _LINK
         if m[1]:
             return "\n" if name in ("p", "div", "li", "tr", "table", "ul", "ol", "blockquote", "section", "h1", "h2", "h3", "h4", "h5", "h6") else " | " if name in ("td", "th") else ""
         if name == "br":
             return "\n"
         if name == "li":
-            return "\n- "
+            return "\n" + _ITEM
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            return "\n" + "\x04"
+            return "\n" + _HEAD
         return "\n" if name in ("p", "div", "tr", "table", "ul", "ol", "blockquote", "section", "hr") else ""
 
     page.sub(_TAG, "html", tag)
@@ -175,11 +194,10 @@ def _latex(page: _Page) -> None:
     if "\\begin{tabular" in page.text:
         page.text = re.sub(r"\\begin\{tabular\*?\}.*?\\end\{tabular\*?\}", lambda m: re.sub(r"[^\S\n]*\\\\[^\S\n]*(?:\\hline)?", "", re.sub(r"[^\S\n]+&[^\S\n]+", " | ", m[0])), page.text, flags=re.S)
     for pattern, to in (
-        (_LATEX_ENV, ""), (_LATEX_ITEM, lambda m: f"- {m[1] + ' ' if m[1] else ''}"), (_LATEX_HEADING, lambda m: "\x04" + m[1]), (_LATEX_CITE, ""), (_LATEX_SWITCH, r"\1"),
+        (_LATEX_ENV, ""), (_LATEX_ITEM, lambda m: f"{_ITEM}{m[1] + ' ' if m[1] else ''}"), (_LATEX_HEADING, lambda m: _HEAD + m[1]), (_LATEX_CITE, ""), (_LATEX_SWITCH, r"\1"),
     ):
         page.sub(pattern, "latex", to)
-    for _ in range(3):
-        page.sub(_LATEX_ARGUMENT, "latex", r"\1")
+    page.nested(_LATEX_ARGUMENT, "latex", r"\1")
     page.sub(_LATEX_RULE, "latex", "")
     page.sub(_LATEX_ESCAPE, "latex", lambda m: m[1] or m[2])
 
@@ -194,19 +212,17 @@ def _wiki(page: _Page) -> None:
         page.sub(_WIKI_TABLE, "wiki", table)
     if "[[" in t:
         page.sub(_WIKI_HIDDEN, "wiki", "")
-        page.sub(_WIKI_LINK, "wiki", r"\1")
+        page.sub(_WIKI_LINK, "wiki", rf"{_LINK}\1{_LINKED}")
     elif "__" in t or "#R" in t:
         page.sub(_WIKI_MAGIC, "wiki", "")
     if "{{" in t:
-        for _ in range(2):
-            page.sub(_WIKI_TEMPLATE, "wiki", "")
+        page.nested(_WIKI_TEMPLATE, "wiki", "")
     if "[http" in t or "[ftp" in t:
-        page.sub(_WIKI_EXTERNAL, "wiki", r"\1")
+        page.sub(_WIKI_EXTERNAL, "wiki", rf"{_LINK}\1{_LINKED}")
     if "''" in t:
-        for _ in range(2):
-            page.sub(_WIKI_QUOTES, "wiki", r"\2")
+        page.nested(_WIKI_QUOTES, "wiki", r"\2")
     if "=" in t:
-        page.sub(_WIKI_HEADING, "wiki", lambda m: "\x04" + m[2].strip())
+        page.sub(_WIKI_HEADING, "wiki", lambda m: _HEAD + m[2].strip())
 
 
 def _markdown_lines(page: _Page) -> None:
@@ -216,7 +232,7 @@ def _markdown_lines(page: _Page) -> None:
     n = len(lines)
     for i, line in enumerate(lines):
         before = lines[i - 1].strip() if i else ""
-        starts = not before or before.startswith(("\x02", "\x04"))
+        starts = not before or before.startswith((_PART, _HEAD, _ITEM))
         if not line.strip():
             in_list = in_list and False
             in_quote = False
@@ -224,13 +240,13 @@ def _markdown_lines(page: _Page) -> None:
             continue
         if m := _ATX.match(line):
             page.seen.add("markdown")
-            out.append("\x04" + m[2])
+            out.append(_HEAD + m[2])
             continue
         if _UNDERLINE.match(line):
             if before and not _UNDERLINE.match(before) and not _MD_ROW.match(before) and out and out[-1].strip():
                 page.seen.add("markdown")
-                if not out[-1].startswith("\x04"):
-                    out[-1] = "\x04" + out[-1].strip()
+                if not out[-1].startswith(_HEAD):
+                    out[-1] = _HEAD + out[-1].strip()
                 continue
             if "-" in line and starts:
                 page.seen.add("markdown")
@@ -252,10 +268,10 @@ def _markdown_lines(page: _Page) -> None:
             continue
         if m := _BULLET.match(line):
             follows = i + 1 < n and bool(_BULLET.match(lines[i + 1]))
-            if starts or in_list or before.endswith(":") or out and out[-1].startswith("\x04") or follows and not line[m.end() : m.end() + 1].isdigit():
+            if starts or in_list or before.endswith(":") or out and out[-1].startswith(_HEAD) or follows and not line[m.end() : m.end() + 1].isdigit():
                 page.seen.add("markdown")
                 in_list = True
-                out.append(f"{m[1]}- {line[m.end() :]}")
+                out.append(f"{m[1]}{_ITEM}{line[m.end() :]}")
                 continue
         if (m := _ORDERED.match(line)) and (starts or in_list) and _counts(lines, i, int(m[1])):
             page.seen.add("markdown")
@@ -287,27 +303,32 @@ def _markdown(page: _Page) -> None:
     t = page.text
     if "[" in t:
         page.sub(_MD_IMAGE, "markdown", r"\1")
-        page.sub(_MD_LINK, "markdown", lambda m: m[1] or m[2])
+        page.sub(_MD_LINK, "markdown", rf"{_LINK}\1{_LINKED}")
         page.sub(_MD_DEFINITION, "markdown", "")
         page.sub(_MD_NOTE, "markdown", "")
     if "<" in t:
         page.sub(_MD_URL, "markdown", lambda m: m[0][1:-1])
     if "*" in t:
-        for _ in range(2):
-            page.sub(_MD_STARS, "markdown", r"\2")
+        page.nested(_MD_STARS, "markdown", r"\2")
     if "_" in t:
-        for _ in range(2):
-            page.sub(_MD_UNDERS, "markdown", r"\2")
+        page.text = _DUNDER.sub(lambda m: page.keep("span", m[0]), page.text)
+        page.nested(_MD_UNDERS, "markdown", r"\2")
     if "~~" in t:
         page.sub(_MD_STRIKE, "markdown", r"\1")
 
 
-_ASIDE = re.compile("\x02(\\d+)\x03")
+_ASIDE = re.compile(f"{_PART}(\\d+){_END}")
+_ANCHOR = re.compile(f"{_LINK}[^{_LINK}{_LINKED}]*{_LINKED}?")
+_MARKS = re.compile("[\x02-\x07]")
+_SIGNS = re.compile(r"[\W_]+")
+
+#: A line laid out: kind, text, letters and digits outside links, those in links, links.
+_Line = tuple[str, str, int, int, int]
 
 
-def _lay_out(page: _Page) -> list[tuple[str, str]]:
-    """(kind, text) of each line; set-aside blocks get lines of their own, spans go back into theirs."""
-    out: list[tuple[str, str]] = []
+def _lay_out(page: _Page) -> list[_Line]:
+    """The lines; set-aside blocks get lines of their own, spans go back into theirs."""
+    out: list[_Line] = []
     for line in page.text.split("\n"):
         parts = _ASIDE.split(line)
         held = ""
@@ -320,37 +341,88 @@ def _lay_out(page: _Page) -> list[tuple[str, str]]:
                 held += text
                 continue
             if held.strip():
-                out.append(_kind(held))
+                out.append(_line(held))
             held = ""
             if kind == "marker":
                 name, number = text.split()
-                out.append(("marker", f"<!-- {name}: {number} -->"))
+                out.append(("marker", f"<!-- {name}: {number} -->", 1, 0, 0))
             else:
-                out += [(kind, x) for x in (text.split("\n") or [""])]
+                out += [(kind, x, len(_SIGNS.sub("", x)), 0, 0) for x in (text.split("\n") or [""])]
         if held.strip() or len(parts) == 1:
-            out.append(_kind(held))
+            out.append(_line(held))
     return out
 
 
+def _line(line: str) -> _Line:
+    inside = links = 0
+    own = line
+    if _LINK in line or _LINKED in line:
+        found = _ANCHOR.findall(line)
+        links, inside = len(found), len(_SIGNS.sub("", "".join(found)))
+        own = _ANCHOR.sub("", line)
+        line = line.replace(_LINK, "").replace(_LINKED, "")
+    kind, text = _kind(line)
+    return kind, text, len(_SIGNS.sub("", own)), inside, links
+
+
 def _kind(line: str) -> tuple[str, str]:
     s = line.strip()
     if not s:
         return "blank", ""
-    if s.startswith("\x04"):
-        return "heading", s.replace("\x04", "").strip()
-    s = s.replace("\x04", "")
-    if s.startswith("- "):
-        return "list", " " * (len(line) - len(line.lstrip())) + s
+    if s.startswith(_HEAD):
+        return "heading", s.replace(_HEAD, "").replace(_ITEM, "").strip()
+    s = s.replace(_HEAD, "")
+    if s.startswith((_ITEM, "- ")):
+        return "list", " " * (len(line) - len(line.lstrip())) + "- " + s.removeprefix("- ").replace(_ITEM, "").strip()
+    s = s.replace(_ITEM, "")
     if " | " in s:
         return "table", s
     return "text", re.sub(r"[^\S\n]+", " ", s)
 
 
-def _between_surges(lines: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Structural lines, and the text lines that lie in some window between a surge and a dive."""
-    size = [len(re.sub(r"\W", "", t)) if kind != "blank" else 0 for kind, t in lines]
-    block = [sum(size[max(0, n - WINDOW + 1) : n + WINDOW]) for n in range(len(lines))]
-    return [(k, t) for (k, t), b in zip(lines, block, strict=True) if k != "text" or b >= SURGE or len(lines) <= WINDOW]
+def _lengths(lines: list[_Line]) -> list[int]:
+    """The text length of each line. A lone link is text; a line of several links and nothing else, or one of
+    WINDOW or more lines in a row with a link each, is navigation and has none."""
+    out = [own + inside for _, _, own, inside, _ in lines]
+    run: list[int] = []
+    for n in range(len(lines) + 1):
+        if n < len(lines) and lines[n][4] and not lines[n][2] and lines[n][0] in ("text", "list", "table"):
+            run.append(n)
+            continue
+        if len(run) >= WINDOW or any(lines[i][4] > 1 for i in run):
+            for i in run:
+                out[i] = 0
+        run = []
+    return out
+
+
+def surges(lengths: list[int]) -> list[tuple[int, int]]:
+    """(surge, dive) of each stretch of text, by line: from the first line with text whose window reaches SURGE
+    up to the line without text whose window falls below it."""
+    found: list[tuple[int, int]] = []
+    start = -1
+    for n, own in enumerate(lengths):
+        block = sum(lengths[n : n + WINDOW])
+        if start < 0 and own > 0 and block >= SURGE:
+            start = n
+        elif start >= 0 and own == 0 and block < SURGE:
+            found.append((start, n))
+            start = -1
+    return found + [(start, len(lengths))] if start >= 0 else found
+
+
+def _between_surges(lines: list[_Line]) -> list[_Line]:
+    """The lines between a surge and its dive, structural lines, and blank lines. A page without any surge is
+    left as it is, as nothing tells its text from its navigation."""
+    at = [n for n, x in enumerate(lines) if x[0] != "blank"]
+    shown = [lines[n] for n in at]
+    lengths = _lengths(shown)
+    stretches = surges(lengths)
+    if not stretches or (len(stretches) == 1 and stretches[0] == (0, len(lengths))):
+        return lines
+    body = {at[n] for a, b in stretches for n in range(a, b)}
+    bare = {at[n] for n, size in enumerate(lengths) if not size and (shown[n][0] == "text" or shown[n][4])}
+    return [x for n, x in enumerate(lines) if n in body or n not in bare]
 
 
 def convert(text: str | None) -> tuple[str | None, list[tuple[str, str]], list[tuple[str, int, int]], list[str]]:
@@ -361,7 +433,7 @@ def convert(text: str | None) -> tuple[str | None, list[tuple[str, str]], list[t
     """
     if text is None:
         return None, [], [], []
-    page = _Page(text.replace("\x02", "").replace("\x03", "").replace("\x04", ""))
+    page = _Page(text.translate(_UNMARKED) if _MARKS.search(text) else text)
     _set_aside(page)
     _html(page)
     _latex(page)
@@ -372,7 +444,7 @@ def convert(text: str | None) -> tuple[str | None, list[tuple[str, str]], list[t
     blocks: list[tuple[str, str]] = []
     markers: list[tuple[str, int, int]] = []
     last = "blank"
-    for kind, t in lines:
+    for kind, t, *_ in lines:
         if kind == "blank":
             if clean and clean[-1]:
                 clean.append("")

@@ -33,7 +33,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     """The clean text of every page with its markers; a page delivered twice counts once."""
-    return convert_pages(load(spark, d, "pages")).select("paper_id", "page", "clean", "markers").dropDuplicates(["paper_id", "page"])
+    once = load(spark, d, "pages").select("paper_id", "page", "text").dropDuplicates(["paper_id", "page"])
+    return convert_pages(once).select("paper_id", "page", "clean", "markers")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
