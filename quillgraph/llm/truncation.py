@@ -1,10 +1,19 @@
 """Problem 8: texts cut off by their source, by a structural completeness check.
 
-A stack automaton follows quotes and brackets over the end of each text, and the last line is classed: closed
-by a terminator, list entry, keywords, table row, code, reference, signature, title, or open prose. Broken
-characters, escapes and cut marks decide alone. Entries and titles have no terminator, so whether one is
-whole is told by the corpus's own baseline: how often its tail ends such a line where the text goes on after
-it. Each document yields one small row of features, written once; the baseline is their aggregate.
+A stack automaton follows quotes, brackets and inline elements over the end of each text, and the last line is
+classed: closed by a terminator, list entry, keywords, table row, code, reference, signature, title, or open
+prose. Broken characters, escapes and cut marks decide alone; other ends are weighed against baselines.
+
+* Open prose is cut if its source is used to end its prose with a terminator, if the text ends at the source's
+  field limit, or if its last word says so. A source's habit is its own rate of terminators, drawn to that of
+  all sources as long as it has few texts.
+* Entries and titles have no terminator. Such an end is cut if that is likelier than that a whole one looks so:
+  the source's own share of cut texts against the chance that a whole entry ends in an unseen tail, in an
+  unseen word, or in a word that elsewhere always goes on. These chances are counted over the whole corpus, so
+  that a small corpus needs stronger signs and a large one fewer; nothing is switched off.
+
+Each document yields one small row of features, written once with counted tails and words; the baselines are
+their aggregates.
 """
 
 from __future__ import annotations
@@ -12,22 +21,31 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_folder
 
-#: A tail is known from this many lines; a baseline that explains less than this share of its lines is not used.
-KNOWN_FROM, EXPLAINS = 2, 0.8
+#: A tail is known from this many lines, and from this share of them where cut ones count themselves.
+KNOWN_FROM, KNOWN_SHARE = 2, 0.01
+#: Texts of the whole corpus by which a source's own rates are smoothed; rate from which a source is used to terminators.
+SMOOTHING, USED_TO = 10.0, 0.5
+#: Share of a word's occurrences at the end of a phrase from which it is no sign of a cut.
+ENDS_PHRASES = 0.1
+#: Words counted in a task before they are handed on.
+MOST_WORDS = 200_000
 #: A fixed length is a source's field limit if at least this many and this share of its texts end there.
 LIMIT_TEXTS, LIMIT_SHARE = 3, 0.02
 #: Words of a line that may be a term by itself.
 SHORT = 3
 #: Kinds of an end that are cut by themselves, and kinds for which the baseline decides.
-BY_ITSELF = ("mark", "broken", "open", "prose", "cut_code", "cut_reference")
+BY_ITSELF = ("mark", "broken", "open", "cut_code", "cut_reference")
 BY_TAIL = ("list", "keywords", "title", "signature", "status", "term")
+#: Of these, the ones whose last word is looked at, and those that are always a text's last line.
+BY_WORD, ALWAYS_LAST = ("list", "keywords", "title", "term"), ("signature", "status")
 
 _CLOSED = re.compile(r"[.!?。！？؟।][\"'”’」』»)\]}*_]*$")
 #: The signs by which sources mark a cut.
@@ -48,11 +66,23 @@ _PAIR = dict(zip(_CLOSE, _OPEN, strict=False))
 _PLACEHOLDER = re.compile(r"(?:[\W\d_]*|tb[acd]|todo|n/?a|none|null|nil|nan|unknown|untitled|empty|abstract|summary|(?:no|not) (?:abstract|text|available|applicable)|to be (?:added|announced|confirmed|done)|coming soon)\s*:?", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+#: A word of a script with spaces, and the sign behind it.
+_FOLLOWED = re.compile(r"([a-z\u00df-\u024f\u0370-\u04ff]+)(?=(.))", re.S)
+_ELEMENT = re.compile(r"<(/?)(a|b|i|u|em|strong|code|sub|sup|span|small|s|q)(?:\s[^<>]*)?>", re.I)
 
 
 def unclosed(text: str) -> str:
-    """The quotes and brackets that are open at the end. A closing sign without its opening one is passed over."""
+    """The quotes, brackets and inline elements (as <) that are open at the end. A closing sign without its
+    opening one is passed over."""
     stack: list[str] = []
+    if "<" in text:
+        open_elements: list[str] = []
+        for closing, name in ((m[1], m[2].lower()) for m in _ELEMENT.finditer(text)):
+            if not closing:
+                open_elements.append(name)
+            elif name in open_elements:
+                del open_elements[len(open_elements) - 1 - open_elements[::-1].index(name)]
+        stack += ["<"] * len(open_elements)
     for c in text:
         if c == "“" and "„" in stack:  # the German closing sign
             while stack.pop() != "„":
@@ -112,7 +142,7 @@ def examine(text: str | None) -> tuple[str, str]:
     if _CLOSED.search(end):
         sentence = _SENTENCE_END.split(last.rstrip())
         tail = last if len(sentence) < 2 else last[last.rfind(sentence[-1]) - 1 if sentence[-1] else 0 :]
-        return ("open", "") if set(unclosed(tail)) & set("(“「『«") else ("closed", "")
+        return ("open", "") if set(unclosed(tail)) & set("(“「『«<") else ("closed", "")
     if sum(x.lstrip().startswith("```") for x in lines) % 2:
         return "open", ""
     if _KEYWORDS.match(last):
@@ -120,7 +150,7 @@ def examine(text: str | None) -> tuple[str, str]:
         return ("keywords", _tail(listed[-1])) if listed[-1].strip() else ("open", "")
     if _ITEM.match(last):
         body = _ITEM.sub("", last)
-        return ("prose", "") if _SENTENCE_END.search(body) else ("list", _tail(body))
+        return ("prose", _last_word(last)) if _SENTENCE_END.search(body) else ("list", _tail(body))
     if re.fullmatch(r"\s*(?:[-*•+]|\d+[.)]?)\s*", last) and len(lines) > 1 and _ITEM.match(lines[-2]):
         return "open", ""
     if ("\t" in last or last.count("|") >= 2) and not _SENTENCE_END.search(last):
@@ -139,7 +169,7 @@ def examine(text: str | None) -> tuple[str, str]:
     if _REFERENCE.search(last) or (_REFERENCE_END.search(last) and "," in last):
         return ("reference", "") if _REFERENCE_END.search(last) and not unclosed(last) else ("cut_reference", "")
     if _SENTENCE_END.search(last):
-        return "prose", ""
+        return "prose", _last_word(last)
     words = last.split()
     if len(lines) == 1 and _PLACEHOLDER.fullmatch(last.strip()):
         return "placeholder", ""
@@ -147,7 +177,7 @@ def examine(text: str | None) -> tuple[str, str]:
         return "term", " ".join(words).lower()
     if _title_like(last) and not unclosed(last) and last[-1] not in ",;:-–—":
         return "title", _last_word(last)
-    return "prose", ""
+    return "prose", _last_word(last)
 
 
 def _is_code(block: list[str]) -> bool:
@@ -194,60 +224,126 @@ def baseline_of(text: str | None) -> Counter:
     return found
 
 
-_FEATURES = "doc_id bigint, source string, chars int, kind string, key string, n bigint"
+_FEATURES = "doc_id bigint, source string, chars int, kind string, key string, n bigint, goes_on bigint, ends bigint"
+_COLUMNS = [x.split()[0] for x in _FEATURES.split(", ")]
+
+
+def _followed(text: str) -> list[tuple[str, str]]:
+    """Each word and the sign behind it; the last word of a text has none and isn't counted."""
+    return _FOLLOWED.findall(text.rstrip().lower())
 
 
 def _features(documents: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """One row per document, and the counted tails of each batch (doc_id null, kind prefixed by +)."""
+    """One row per document; the counted tails (doc_id null, kind prefixed by +) and words (kind +word) of each task."""
+
+    def counted(tails: Counter, words: Counter) -> pa.RecordBatch:
+        n, goes_on, ends = Counter(), Counter(), Counter()
+        for (word, sign), times in words.items():
+            n[word] += times
+            if sign == " ":
+                goes_on[word] += times
+            elif sign in ".,;:!?)":
+                ends[word] += times
+        rows = [(None, None, None, "+" + kind, k, times, 0, 0) for (kind, k), times in tails.items()]
+        rows += [(None, None, None, "+word", w, times, goes_on[w], ends[w]) for w, times in n.items()]
+        return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tails: Counter = Counter()
+        words: Counter = Counter()
         for batch in batches:
             ids, sources, texts = (batch.column(n).to_pylist() for n in range(3))
-            ends = [examine(t) for t in texts]
-            tails: Counter = Counter()
-            for (kind, k), t in zip(ends, texts, strict=True):
+            rows = []
+            for i, s, t in zip(ids, sources, texts, strict=True):
+                kind, k = examine(t)
+                rows.append((i, s, None if t is None else len(t), kind, k, 1, 0, 0))
                 tails.update(baseline_of(t))
-                if kind in ("signature", "status"):
+                if kind in ALWAYS_LAST:
                     tails[kind, k] += 1
-            more = list(tails.items())
-            blank = [None] * len(more)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids + blank, pa.int64()),
-                    pa.array(sources + blank, pa.string()),
-                    pa.array([None if t is None else len(t) for t in texts] + blank, pa.int32()),
-                    pa.array([k for k, _ in ends] + ["+" + k for (k, _), _ in more], pa.string()),
-                    pa.array([k for _, k in ends] + [t for (_, t), _ in more], pa.string()),
-                    pa.array([1] * len(ids) + [n for _, n in more], pa.int64()),
-                ],
-                ["doc_id", "source", "chars", "kind", "key", "n"],
-            )
+                if t:
+                    words.update(_followed(t))
+            yield _batch(rows)
+            if len(words) + len(tails) > MOST_WORDS:
+                yield counted(tails, words)
+                tails, words = Counter(), Counter()
+        yield counted(tails, words)
 
     return documents.select(F.col(key).cast("bigint"), source, text).mapInArrow(run, _FEATURES)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _COLUMNS)
+
+
+def _sources(docs: DataFrame) -> DataFrame:
+    """(source, habit, rate, limit_chars) of each source.
+
+    habit: how often its prose ends in a terminator; rate: its share of cut texts as far as single texts tell;
+    both smoothed by the whole corpus. limit_chars: the length of its longest texts, if many have it.
+    """
+    by_length = docs.where("kind <> 'empty'").groupBy("source", "chars").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "closed").alias("closed"), F.count_if(F.col("kind") == "prose").alias("prose"), F.count_if(F.col("kind").isin(*BY_ITSELF)).alias("told"),
+    )
+    each = by_length.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("n", "closed", "prose", "told")], F.max(F.struct("chars", "n")).alias("longest"))
+    total = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "closed", "prose", "told")]).first()  # one row
+    # without texts that say otherwise, prose ends in a terminator
+    terminators = (total["closed"] + SMOOTHING) / (total["closed"] + total["prose"] + SMOOTHING)
+    told = (total["told"] + (total["prose"] if terminators >= USED_TO else 0) + 1) / (total["n"] + 20)
+    habit = (F.col("closed") + SMOOTHING * terminators) / (F.col("closed") + F.col("prose") + SMOOTHING)
+    limit = F.when((F.col("longest.n") >= LIMIT_TEXTS) & (F.col("longest.n") >= LIMIT_SHARE * F.col("n")), F.col("longest.chars"))
+    return each.select("source", habit.alias("habit"), ((F.col("told") + F.when(habit >= USED_TO, F.col("prose")).otherwise(0) + SMOOTHING * told) / (F.col("n") + SMOOTHING)).alias("rate"), limit.alias("limit_chars"))
+
+
+def _last(key: Column) -> Column:
+    return F.regexp_extract(key, r"([a-z\x{df}-\x{24f}\x{370}-\x{4ff}]+)[^\p{L}]*$", 1)
+
+
+def _surprise(words: DataFrame) -> tuple[DataFrame, float]:
+    """(word, surprise): how much rarer than usual a whole phrase ends in this word; and the same for an unseen word."""
+    counted = words.groupBy(F.col("key").alias("word")).agg(*[F.sum(c).alias(c) for c in ("n", "goes_on", "ends")])
+    total = counted.agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"), F.sum("n").alias("n")).first()  # one row
+    unseen = ((total["once"] or 0) + 1) / ((total["n"] or 0) + 1)
+    share = (F.col("ends") + 1) / (F.col("goes_on") + F.col("ends") + 2)
+    return counted.select("word", F.least(F.lit(1.0), share / ENDS_PHRASES).alias("surprise")), min(1.0, unseen)
+
+
 def examined_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, chars, kind, cut), one row per row of documents.
 
-    Empty and null texts are never cut. A null source is a source of its own. The baseline of list entries,
-    keywords, titles and signatures counts all texts; where its repeated tails explain too few of its lines,
-    it says nothing and the entries count as whole.
+    Empty and null texts are never cut. A null source is a source of its own. All baselines count all texts;
+    an empty table gives no rows.
     """
     spark = documents.sparkSession
     path = shared_folder(spark, "text-ends")
     _features(documents, key, text, source).write.parquet(path)
     rows = spark.read.schema(_FEATURES).parquet(path)
-    tails = rows.where(F.col("kind").startswith("+")).groupBy(F.expr("substr(kind, 2)").alias("kind"), "key").agg(F.sum("n").alias("n"))
-    used = tails.groupBy("kind").agg((F.sum(F.when(F.col("n") >= KNOWN_FROM, F.col("n")).otherwise(0)) / F.sum("n") >= EXPLAINS).alias("used"), F.sum("n").alias("total"))
-    # signatures are always last lines, so that a cut one counts itself: its tail must be a common one
-    least = F.when(F.col("kind").isin("signature", "status"), F.greatest(F.lit(KNOWN_FROM), F.col("total") * 0.01)).otherwise(F.lit(KNOWN_FROM))
-    known = tails.join(F.broadcast(used), "kind").where(F.col("n") >= least).select("kind", "key", F.lit(True).alias("known"))
     docs = rows.where(~F.col("kind").startswith("+"))
-    # most texts end in a terminator: they have no tail and stay out of the join, where they'd be one hot key
-    tailed = docs.where(F.col("kind").isin(*BY_TAIL)).join(known, ["kind", "key"], "left").join(F.broadcast(used), "kind", "left")
-    cut = F.coalesce("used", F.lit(False)) & F.col("known").isNull()
-    others = docs.where(~F.col("kind").isin(*BY_TAIL))
-    return others.select("doc_id", "source", "chars", "kind", F.col("kind").isin(*BY_ITSELF).alias("cut")).unionByName(tailed.select("doc_id", "source", "chars", "kind", cut.alias("cut")))
+    sources = _sources(docs)
+    words, unseen = _surprise(rows.where("kind = '+word'"))
+    tails = rows.where("kind like '+%' and kind <> '+word'").groupBy(F.expr("substr(kind, 2)").alias("kind"), "key").agg(F.sum("n").alias("n"))
+    totals = {r["kind"]: r["n"] for r in tails.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row per kind
+    # signatures are always last lines, so that a cut one counts itself: its tail must be a common one
+    by_kind = lambda values, other: reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(float(values[k]))), values, F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(float(other)))
+    least = by_kind({k: max(KNOWN_FROM, KNOWN_SHARE * totals.get(k, 0)) for k in ALWAYS_LAST}, KNOWN_FROM)
+    known = tails.where(F.col("n") >= least)
+    explained = {r["kind"]: r["n"] for r in known.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    new_tail = by_kind({k: 1 - explained.get(k, 0) / (totals.get(k, 0) + 1e-9) if totals.get(k) else 1.0 for k in BY_TAIL}, 1.0)
+
+    # what each distinct end says, whatever source it comes from: the chance that a whole entry ends so
+    ends = docs.where(F.col("kind").isin(*BY_TAIL, "prose")).select("kind", "key").distinct().withColumn("word", _last(F.col("key")))
+    told = ends.join(known.select("kind", "key", F.lit(True).alias("known")), ["kind", "key"], "left").join(words, "word", "left")
+    of_word = F.when((F.col("word") == "") | F.col("kind").isin(*ALWAYS_LAST), F.lit(1.0)).otherwise(F.coalesce("surprise", F.lit(unseen)))
+    said = told.select("kind", "key", F.coalesce("known", F.lit(False)).alias("known"), (F.when(F.col("kind") == "prose", 1.0).otherwise(new_tail) * of_word).alias("whole_so"))
+
+    # most texts end in a terminator: they stay out of the joins, where they'd be one hot key
+    weighed = docs.where(F.col("kind").isin(*BY_TAIL, "prose")).join(said, ["kind", "key"], "left")
+    with_source = weighed.withColumn("_source", F.coalesce("source", F.lit("\x00"))).join(sources.withColumn("_source", F.coalesce("source", F.lit("\x00"))).drop("source"), "_source", "left")
+    likelier = F.col("rate") > (1 - F.col("rate")) * F.col("whole_so")
+    cut = F.when(F.col("kind") == "prose", (F.col("habit") >= USED_TO) | F.coalesce(F.col("chars") == F.col("limit_chars"), F.lit(False)) | likelier).otherwise(~F.col("known") & likelier)
+    others = docs.where(~F.col("kind").isin(*BY_TAIL, "prose"))
+    return others.select("doc_id", "source", "chars", "kind", F.col("kind").isin(*BY_ITSELF).alias("cut")).unionByName(with_source.select("doc_id", "source", "chars", "kind", F.coalesce(cut, F.lit(False)).alias("cut")))
 
 
 def cut_shares(examined: DataFrame) -> DataFrame:

@@ -63,3 +63,23 @@ def test_short_texts_are_whole_if_they_are_placeholders_or_terms_the_corpus_list
     short = ["TBD", "n/a", "Graph walker", "index", "The encoder gro", "We propose a", "graph wal", "late graph", None]
     rows = {r["doc_id"] - 3: r["cut"] for r in examined_texts(table(spark, listed + [(t, "b") for t in short])).where("doc_id > 2").collect()}
     assert [rows[n] for n in range(len(short))] == [False, False, False, False, True, True, True, True, False]
+
+
+def test_a_source_that_never_writes_terminators_is_not_cut_throughout(spark):
+    habit = [("so " * n + "we met the encoder and the graph walker, as planned before the talk on tables with the graph walker", "chat") for n in range(40)]
+    other = [("The graph walker, an encoder, sees the graph walker, and the decoder.", "feed")] * 60
+    cut = [("we met the encoder and the graph walker, as planned before the talk on tables with the graph wal", "chat"), ("The graph walker sees the graph walker and the", "feed")]
+    rows = examined_texts(table(spark, habit + other + cut))
+    assert [r["doc_id"] for r in rows.where("cut").orderBy("doc_id").collect()] == [100, 101]
+
+
+def test_a_small_corpus_still_tells_a_cut_word(spark):
+    prose = [("The graph walker, a compact one, beats the sparse index, the dense table and the graph walker.", "a")] * 12 + [("It remains open whether the sparse", "b")] * 2
+    ends = [("A list.\n\n- graph walker\n- sparse index\n- dense tab", "b"), ("Keywords: graph walker, sparse ind", "b"), ("A list.\n\n- graph walker\n- sparse index", "a")]
+    rows = {r["doc_id"]: r["cut"] for r in examined_texts(table(spark, prose + ends)).where("doc_id > 13").collect()}
+    assert rows == {14: True, 15: True, 16: False}
+
+
+def test_open_elements():
+    assert unclosed("a <b>bold <i>x</i> word") == "<" and unclosed("a <b>bold</b> word, x < y and <unk>") == ""
+    assert examine("It is here. They called it <em>good enough.")[0] == "open" and examine("It is <em>good</em>.")[0] == "closed"
