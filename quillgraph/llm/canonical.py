@@ -1,8 +1,9 @@
 """Problem 3: mapping freely written values to a canonical list.
 
-Each distinct value of a task is normalised once, its candidates come from an inverted index of character
-trigrams over the reference list, scored by the cosine of idf weights, and the best candidate is accepted
-above a threshold if its content words are all written and no other entry comes as close (the margin).
+The distinct values are normalised and looked up in an inverted index of character trigrams over the reference
+list. Candidates are scored by the cosine of idf weights and taken from the best down to the threshold; the
+first ones that write all content words of the value and no others are it, if no entry besides comes as close
+as the margin. Values that concepts share are resolved once, and joined to the concepts again.
 """
 
 from __future__ import annotations
@@ -18,15 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, MARGIN, MOST_ENTRIES = 0.2, 0.0, 200_000
+from .common import shared_folder
+
+#: Least cosine of a candidate; entries whose cosines lie this near are equally close; most entries of a list.
+THRESHOLD, MARGIN, MOST_ENTRIES = 0.15, 0.02, 200_000
+#: Scores held at once when values are looked up.
+SCORES_AT_ONCE = 4_000_000
 UNMATCHED = "unmatched"
 
-#: Words that name no concept of their own.
+#: Articles, prepositions and words for any piece of work; they name no concept of their own.
 FILLERS = frozenset(
     "a an the our this that these its of for in on to with and new novel proposed so called data ours approach approaches method methods technique techniques framework task tasks model models problem problems system algorithm strategy procedure module scheme improved".split()
 )
-#: Names that say nothing.
-PLACEHOLDERS = frozenset("baseline unknown other none na n misc tbd todo untitled work b v2".split())
+#: What is written where a value is missing.
+PLACEHOLDERS = frozenset("na none null nil unknown other misc tbd todo untitled".split())
 
 _COMMAND = re.compile(r"\\[a-zA-Z]+\*?\s*\{([^{}]*)\}")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
@@ -96,33 +102,9 @@ def within(a: str, b: str, most: int) -> bool:
     return old[-1] <= most
 
 
-def _letters(word: str) -> int:
-    """The letters of a word as bits. A slip takes out one letter and brings in one at most."""
-    bits = 0
-    for c in word:
-        bits |= 1 << (ord(c) & 31)
-    return bits
-
-
 def _grams(words: tuple[str, ...]) -> Counter:
-    return Counter(g for w in words for g in (f" {w} "[i : i + 3] for i in range(len(w))))
-
-
-def _written(options: list[tuple[tuple[str, int], ...]], key: tuple[str, ...]) -> int | None:
-    """The least number of slips by which the words, in any order, write exactly the key; None if they don't."""
-    if len(options) != len(key):
-        return None
-    states = {tuple(sorted(key)): 0}
-    for choices in options:
-        then: dict[tuple[str, ...], int] = {}
-        for rest, slips in states.items():
-            for word, n in choices:
-                if word in rest:
-                    at = rest.index(word)
-                    left = rest[:at] + rest[at + 1 :]
-                    then[left] = min(then.get(left, 99), slips + n)
-        states = then
-    return states.get(())
+    """The trigrams of the words, their ends marked; a shortened word has no end."""
+    return Counter(g for w in words for padded in (f" {w[:-1]}" if w.endswith(".") else f" {w} ",) for g in (padded[i : i + 3] for i in range(max(1, len(padded) - 2))))
 
 
 class CanonicalIndex:
@@ -131,38 +113,33 @@ class CanonicalIndex:
     def __init__(self, entries: list[tuple[str, str | None, list[str | None] | None]]):
         # words written with a hyphen, as one
         self.compounds = frozenset("".join(p) for _, name, _ in entries for w in (name or "").lower().split() if "-" in w and len(p := content_words(w)) == 2)
+        self.compound_grams = defaultdict(set)
+        for c in self.compounds:
+            for g in _grams((c,)):
+                self.compound_grams[g].add(c)
         keys: dict[tuple[str, ...], set[str]] = defaultdict(set)
         for entry, name, aliases in entries:
             for value in (name, *(aliases or ())):
                 if words := self.words(value):
                     keys[tuple(sorted(words))].add(entry)
+                    # the words as one, for values written without any space
+                    keys[("".join(words),)].add(entry)
         self.keys = list(keys)
         self.entries = [frozenset(keys[k]) for k in self.keys]
-        self.exact = dict(zip(self.keys, self.entries, strict=True))
-        joined: dict[str, set[str]] = defaultdict(set)
-        for entry, name, aliases in entries:
-            for value in (name, *(aliases or ())):
-                if words := self.words(value):
-                    joined["".join(words)] |= {entry}
-        self.joined = {k: frozenset(v) for k, v in joined.items()}
-        self.vocabulary = sorted({w for k in self.keys for w in k})
-        self.known = frozenset(self.vocabulary)
-        # slips are looked for in words, not in lone acronyms
-        self.spelled = sorted({w for k in self.keys if len(k) > 1 for w in k})
-        self.letters = [(v, len(v), _letters(v)) for v in self.spelled]
+        self.known = frozenset(w for k in self.keys for w in k)
         grams = [_grams(k) for k in self.keys]
         self.gram = {g: n for n, g in enumerate(sorted({g for c in grams for g in c}))}
         holders = Counter(g for c in grams for g in c)
-        self.idf = np.array([np.log(1 + len(grams) / holders[g]) for g in sorted(self.gram)]) if self.gram else np.empty(0)
+        self.unseen = float(np.log(1 + len(grams)))
+        self.idf = np.array([np.log(1 + len(grams) / holders[g]) for g in self.gram])
         lists: list[list[tuple[int, float]]] = [[] for _ in self.gram]
         for n, c in enumerate(grams):
             weights = {self.gram[g]: f * self.idf[self.gram[g]] for g, f in c.items()}
             norm = np.sqrt(sum(w * w for w in weights.values()))
             for g, w in weights.items():
                 lists[g].append((n, w / norm))
-        self.post = [(np.array([x[0] for x in p], dtype=np.int32), np.array([x[1] for x in p])) for p in lists]
-        self._close = lru_cache(200_000)(self._close_words)
-        self._entries = lru_cache(200_000)(self._entries_of)
+        self.post = [(np.array([x[0] for x in p], dtype=np.int64), np.array([x[1] for x in p])) for p in lists]
+        self.slips = lru_cache(500_000)(self._slips)
 
     def words(self, value: str | None) -> tuple[str, ...]:
         """The content words of a value, neighbours that write a compound joined."""
@@ -172,119 +149,171 @@ class CanonicalIndex:
         out: list[str] = []
         at = 0
         while at < len(found):
-            pair = "".join(found[at : at + 2])
-            if at + 1 < len(found) and (pair in self.compounds or len(pair) < 12 and any(abs(len(pair) - len(c)) <= 1 and within(pair, c, 1) for c in self.compounds)):
-                out.append(pair)
+            if at + 1 < len(found) and self._compound("".join(found[at : at + 2])):
+                out.append("".join(found[at : at + 2]))
                 at += 2
             else:
                 out.append(found[at])
                 at += 1
         return tuple(out)
 
-    def _close_words(self, word: str) -> tuple[tuple[str, int], ...]:
-        """Content words of the list that the word may write, with the number of slips; short words only exactly."""
+    def _compound(self, pair: str) -> bool:
+        """Whether two words in a row write a compound, with one slip at most."""
+        if pair in self.compounds:
+            return True
+        if len(pair) >= 12:
+            return False
+        near = set().union(*(self.compound_grams.get(g, ()) for g in _grams((pair,))))
+        return any(within(pair, c, 1) for c in near)
+
+    def _slips(self, word: str, wanted: str, lone: bool) -> int | None:
+        """By how many slips the word writes the wanted one; None if it doesn't. A word of the list writes itself
+        only, a short one and a lone acronym are written exactly."""
+        if word == wanted:
+            return 0
         if word in self.known:
-            return ((word, 0),)
+            return None
         if word.endswith("."):
-            if (whole := stem(word[:-1])) in self.known:
-                return ((whole, 0),)
-            return tuple((v, 1) for v in self.spelled if v.startswith(word[:-1])) or self._close_words(whole)
-        if len(word) < 3:
-            return ()
-        one = tuple((v, 1) for v in self._like(word, 1) if within(word, v, 1))
-        return one or (tuple((v, 2) for v in self._like(word, 2) if len(v) >= 9 and within(word, v, 2)) if len(word) >= 9 else ())
-
-    def _like(self, word: str, most: int) -> Iterator[str]:
-        """Words whose length and letters don't rule out that so many slips lead to them."""
-        n, own = len(word), _letters(word)
-        return (v for v, k, letters in self.letters if abs(n - k) <= most and (own ^ letters).bit_count() <= 2 * most)
-
-    def candidates(self, words: tuple[str, ...]) -> list[tuple[int, float]]:
-        """Keys above the threshold, the best first: (number, cosine)."""
-        weights = {self.gram[g]: f * self.idf[self.gram[g]] for g, f in _grams(words).items() if g in self.gram}
-        if not weights:
-            return []
-        unknown = sum((f * np.log(1 + len(self.keys))) ** 2 for g, f in _grams(words).items() if g not in self.gram)
-        norm = np.sqrt(sum(w * w for w in weights.values()) + unknown)
-        number = np.concatenate([self.post[g][0] for g in weights])
-        part = np.concatenate([self.post[g][1] * w for g, w in weights.items()])
-        score = np.bincount(number, part, minlength=len(self.keys)) / norm
-        good = np.flatnonzero(score >= THRESHOLD)
-        return [(int(n), float(score[n])) for n in good[np.argsort(-score[good], kind="stable")]]
-
-    def entry_of(self, value: str | None) -> tuple[frozenset[str], float]:
-        """The entries that the value writes equally well (one, if it is clear), and the score."""
-        return self._entries(value)
-
-    def _entries_of(self, value: str | None) -> tuple[frozenset[str], float]:
-        words = self.words(value)
-        if not words:
-            return frozenset(), 0.0
-        if hit := self.exact.get(tuple(sorted(words))):
-            return hit, 1.0
-        if hit := self.joined.get("".join(words)):
-            return hit, 1.0
-        best: dict[str, tuple[int, float]] = {}
-        options = [self._close(w) for w in words]
-        if not all(options):
-            return frozenset(), 0.0
-        for n, score in self.candidates(words):
-            slips = _written(options, self.keys[n])
-            if slips is not None:
-                for e in self.entries[n]:
-                    best[e] = min(best.get(e, (99, 0.0)), (slips, -score))
-        if not best:
-            return frozenset(), 0.0
-        least = min(s for s, _ in best.values())
-        close = {e: -s for e, (k, s) in best.items() if k == least}
-        top = max(close.values())
-        return frozenset(e for e, s in close.items() if s >= top - MARGIN), top
+            return 0 if stem(word[:-1]) == wanted else 1 if wanted.startswith(word[:-1]) else None
+        if lone or len(word) < 3:
+            return None
+        return 1 if within(word, wanted, 1) else 2 if min(len(word), len(wanted)) >= 9 and within(word, wanted, 2) else None
+
+    def writes(self, words: tuple[str, ...], key: tuple[str, ...]) -> bool:
+        """Whether the words, in any order, write exactly the words of the key."""
+        if len(words) != len(key):
+            return words != key and len(key) == 1 and "".join(words) == key[0]
+        left = list(key)
+        rest = []
+        for w in words:
+            if w in left:
+                left.remove(w)
+            else:
+                rest.append(w)
+        if not rest:
+            return True
+        if any(w in self.known for w in rest):
+            return False
+        # few words are left: every one must have a partner of its own
+        options = [[n for n, k in enumerate(left) if self.slips(w, k, len(key) == 1) is not None] for w in rest]
+        return _matched(options, frozenset())
+
+    def candidates(self, values: list[tuple[str, ...]]) -> Iterator[list[tuple[int, float]]]:
+        """For each value, the keys from the best cosine down to the threshold: (number, cosine)."""
+        size = max(1, len(self.keys))
+        step = max(1, SCORES_AT_ONCE // size)
+        for lo in range(0, len(values), step):
+            numbers, parts, norms = [], [], []
+            some = values[lo : lo + step]
+            for n, words in enumerate(some):
+                squares = 0.0
+                for g, f in _grams(words).items():
+                    at = self.gram.get(g)
+                    w = f * (self.unseen if at is None else self.idf[at])
+                    squares += w * w
+                    if at is not None:
+                        ids, weights = self.post[at]
+                        numbers.append(ids + n * size)
+                        parts.append(weights * w)
+                norms.append(np.sqrt(squares) or 1.0)
+            if not numbers:
+                yield from ([] for _ in some)
+                continue
+            scores = np.bincount(np.concatenate(numbers), np.concatenate(parts), minlength=len(some) * size).reshape(len(some), size) / np.array(norms)[:, None]
+            for row in np.round(scores, 9):
+                good = np.flatnonzero(row >= THRESHOLD)
+                yield [(int(k), float(row[k])) for k in good[np.argsort(-row[good], kind="stable")]]
+
+    def match(self, values: list[str | None]) -> list[tuple[frozenset[str], float]]:
+        """For each value, the entries that it writes equally closely (one, if it is clear), and the score."""
+        each = [self.words(v) for v in values]
+        distinct = list(dict.fromkeys(w for w in each if w))
+        found = {w: self._closest(w, listed) for w, listed in zip(distinct, self.candidates(distinct), strict=True)}
+        return [found.get(w, (frozenset(), 0.0)) for w in each]
+
+    def _closest(self, words: tuple[str, ...], listed: list[tuple[int, float]]) -> tuple[frozenset[str], float]:
+        best, entries = None, set()
+        for n, score in listed:
+            if best is not None and score < best - MARGIN:
+                break
+            if self.writes(words, self.keys[n]):
+                best = score if best is None else best
+                entries |= self.entries[n]
+        return frozenset(entries), best or 0.0
 
     def resolve(self, name: str | None, aliases: list[str | None] | None) -> tuple[str, float]:
-        """The entry of a concept and its score, or unmatched. The name decides; where it writes no entry, or
-        several, the first alias that writes one (of these) does. A name with an unknown content word besides
-        known ones says something else, and no alias overrides it."""
-        named, score = self.entry_of(name)
+        """The entry of one concept and its score, or unmatched; the rule of map_to_canonical for a single value."""
+        (named, score), *others = self.match([name, *(aliases or ())])
         if len(named) == 1:
             return next(iter(named)), score
-        if named or self.says_nothing(name):
-            for alias in aliases or ():
-                entries, s = self.entry_of(alias)
-                if named and entries & named:
-                    entries &= named
-                if len(entries) == 1:
+        if named or says_nothing(name):
+            for entries, s in others:
+                if len(entries := entries & named if entries & named else entries) == 1:
                     return next(iter(entries)), s
         return UNMATCHED, score
 
-    def says_nothing(self, name: str | None) -> bool:
-        """No content word at all, or a lone acronym."""
-        words = content_words(name)
-        return all(w in PLACEHOLDERS for w in words) or (len(words) == 1 and len(words[0]) <= 6)
 
+def _matched(options: list[list[int]], taken: frozenset[int]) -> bool:
+    return not options or any(_matched(options[1:], taken | {n}) for n in options[0] if n not in taken)
 
-def map_to_canonical(concepts: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ("paper_id", "local_id"), name: str = "name", aliases: str = "aliases", entry: str = "id", entry_name: str = "canonical_name", entry_aliases: str = "aliases") -> DataFrame:
-    """(keys, concept_id, score): one row per distinct key; concept_id is the entry or `unmatched`.
 
-    Rows delivered twice count once. Null and blank names rely on the aliases; nulls among these are skipped.
-    The reference list is held by every worker and may have MOST_ENTRIES rows; a longer one is refused.
-    """
-    rows = reference.select(entry, entry_name, entry_aliases).where(F.col(entry).isNotNull()).limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
-    listed = [(str(r[0]), r[1], r[2]) for r in rows]
-    shared = concepts.sparkSession.sparkContext.broadcast(listed)
-    once = concepts.select(*keys, F.col(name).alias("_name"), F.col(aliases).alias("_aliases")).dropDuplicates(list(keys))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in once.schema.fields if f.name in keys)
+def says_nothing(name: str | None) -> bool:
+    """No content word of two letters or more, a placeholder, or a lone acronym."""
+    words = content_words(name)
+    return all(w in PLACEHOLDERS or len(w) < 2 for w in words) or (len(words) == 1 and len(words[0]) <= 6)
+
+
+_VALUES = "value string, entries array<string>, score double, nothing boolean"
+
+
+def _resolved(values: DataFrame, listed: list[tuple]) -> DataFrame:
+    """(value, entries, score, nothing) of a table of distinct values."""
+    shared = values.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CanonicalIndex(shared.value)
-        resolve = lru_cache(300_000)(lambda n, a: index.resolve(n, a))
         for batch in batches:
-            names, lists = batch.column("_name").to_pylist(), batch.column("_aliases").to_pylist()
-            found = [resolve(n, tuple(a) if a is not None else None) for n, a in zip(names, lists, strict=True)]
+            held = batch.column(0).to_pylist()
+            found = index.match(held)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keys), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*keys, "concept_id", "score"],
+                [batch.column(0), pa.array([sorted(e) for e, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.float64()), pa.array([says_nothing(v) for v in held], pa.bool_())],
+                ["value", "entries", "score", "nothing"],
             )
 
-    return once.mapInArrow(run, f"{kinds}, concept_id string, score double")
+    return values.mapInArrow(run, _VALUES)
+
+
+def map_to_canonical(concepts: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ("paper_id", "local_id"), name: str = "name", aliases: str = "aliases", entry: str = "id", entry_name: str = "canonical_name", entry_aliases: str = "aliases") -> DataFrame:
+    """(keys, concept_id, score): one row per distinct key; concept_id is the entry or `unmatched`.
+
+    The name decides; where it writes no entry clearly, and says nothing or writes several, the first alias that
+    writes one (of these, if any) does. A name with an unknown content word besides known ones says something
+    else, and no alias overrides it. Rows delivered twice count once; null and blank names rely on the aliases,
+    nulls among these are skipped. The score is the cosine, 1 for the same words.
+    The reference list is held by every worker and may have MOST_ENTRIES rows; a longer one is refused.
+    """
+    spark = concepts.sparkSession
+    rows = reference.select(entry, entry_name, entry_aliases).where(F.col(entry).isNotNull()).limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
+    held = [F.col(f"`{k}`") for k in keys]
+    once = concepts.select(*held, F.col(name).alias("_name"), F.col(aliases).alias("_aliases")).dropDuplicates(list(keys))
+    strings = F.array().cast("array<string>")
+    values = once.select(F.explode(F.concat(F.array("_name"), F.coalesce("_aliases", strings))).alias("value")).where("value is not null").distinct()
+    path = shared_folder(spark, "values")
+    _resolved(values, [(str(r[0]), r[1], r[2]) for r in rows]).write.parquet(path)
+    found = spark.read.schema(_VALUES).parquet(path)
+
+    named = once.join(found.withColumnRenamed("value", "_name"), "_name", "left")
+    clear = F.size(F.coalesce("entries", strings)) == 1
+    open_ = ~clear & ((F.size(F.coalesce("entries", strings)) > 1) | F.coalesce("nothing", F.lit(True)))
+    score = F.coalesce("score", F.lit(0.0)).alias("score")
+    told = named.where(~open_).select(*held, F.when(clear, F.col("entries")[0]).otherwise(UNMATCHED).alias("concept_id"), score)
+
+    asked = named.where(open_).select(*held, F.coalesce("entries", strings).alias("_named"), score, F.posexplode_outer("_aliases").alias("_pos", "_alias"))
+    answers = found.select(F.col("value").alias("_alias"), F.col("entries").alias("_entries"), F.col("score").alias("_score"))
+    both = F.array_intersect("_entries", "_named")
+    one = F.when(F.size(both) > 0, both).otherwise(F.col("_entries"))
+    first = F.min(F.when(F.size(one) == 1, F.struct("_pos", one[0].alias("entry"), "_score"))).alias("first")
+    by_alias = asked.join(answers, "_alias", "left").groupBy(*held).agg(first, F.max("score").alias("score"))
+    return told.unionByName(by_alias.select(*held, F.coalesce("first.entry", F.lit(UNMATCHED)).alias("concept_id"), F.coalesce("first._score", "score").alias("score")))

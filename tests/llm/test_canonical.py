@@ -47,3 +47,38 @@ def test_table(spark):
     assert got == {(1, "c1", "neural-knowledge-reasoning"), (1, "c2", "unmatched"), (2, "c1", "unmatched")}
     assert map_to_canonical(df.limit(0), ref).count() == 0
     assert {r[2] for r in map_to_canonical(df, ref.limit(0)).collect()} == {"unmatched"}
+
+
+NEAR = [("a", "query summarization", None), ("b", "query summarisation", None)]
+
+
+def test_the_cosine_and_the_margin_decide_between_entries_that_both_fit(monkeypatch):
+    index = CanonicalIndex(NEAR)
+    # one slip from the first, two from the second
+    assert index.resolve("query summarizatoin", None)[0] == "a" and index.resolve("query summarisatoin", None)[0] == "b"
+    plain = CanonicalIndex.candidates
+    monkeypatch.setattr(CanonicalIndex, "candidates", lambda self, values: ([(k, 1.0) for k, _ in found] for found in plain(self, values)))
+    assert index.resolve("query summarizatoin", None)[0] == "unmatched"
+
+
+def test_nothing_passes_by_the_index(monkeypatch):
+    monkeypatch.setattr(CanonicalIndex, "candidates", lambda self, values: ([] for _ in values))
+    assert {INDEX.resolve(n, [n])[0] for n in ("Graph Distillation", "NKR", "query parsing")} == {"unmatched"}
+
+
+def test_lookups_in_blocks(monkeypatch):
+    from quillgraph.llm import canonical
+
+    values = ["Graph Distillation", None, "graph distilation", "no such thing", "", "NKR"] * 3
+    whole = INDEX.match(values)
+    monkeypatch.setattr(canonical, "SCORES_AT_ONCE", 1)
+    assert INDEX.match(values) == whole and [len(e) for e, _ in whole[:6]] == [1, 0, 1, 0, 0, 1]
+
+
+def test_aliases_in_the_table(spark):
+    rows = [(1, "c1", "this method", ["", None, "graph distilation", "NKR"]), (1, "c2", None, None), (None, "c3", "n/a", ["NKR"]), (1, "c4", "spectral graph distillation", ["NKR"]), (1, "c5", "GD", ["Graph Distillation"]), (2, None, "query parsing", [])] + [(9, f"c{n}", "this method", ["NKR"]) for n in range(50)]
+    df = spark.createDataFrame(rows, "paper_id bigint, local_id string, name string, aliases array<string>")
+    ref = spark.createDataFrame(ENTRIES, "id string, canonical_name string, aliases array<string>")
+    got = {(r[0], r[1]): r[2] for r in map_to_canonical(df, ref).collect()}
+    assert len(got) == len(rows)
+    assert [got[r[0], r[1]] for r in rows] == [INDEX.resolve(r[2], r[3])[0] for r in rows]
