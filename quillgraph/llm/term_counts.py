@@ -1,19 +1,26 @@
 """Problem 4: frequency of every distinct term, kept by incremental signed deltas.
 
-The persistent state holds one row per (term, record) with its number of occurrences, partitioned by a hash
-of the term. A change set (added, removed, or both for a changed record) is aggregated alone into signed
-deltas; only the partitions that a delta touches are read and written again. Record counts are exact under
-deletion because a record leaves a term's count only when its multiplicity falls to zero.
+The persistent state has two tables in partitions by a hash of the term: the occurrences of each (term, record),
+and the counts of each term. A change set (added, removed, or both for a changed record) is aggregated alone
+into signed deltas; only the partitions that it touches are read. Its per-term changes of occurrences and of
+records are merged into the counts. Record counts are exact under deletion because a record leaves a term's
+count only when its multiplicity falls to zero. A manifest on disk names the folder of every partition, so a
+store can be opened again, and a broken change set leaves the former state whole.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpus import NotFound, read_text, write_text
 from .common import WHITE_SPACE, shared_folder
 
-PARTS = 16
+#: Rows of the state per partition; the number of partitions is doubled until they fit.
+ROWS_PER_PART = 1_000_000
 
 
 def fold_id(value: Column) -> Column:
@@ -33,19 +40,18 @@ def signed_deltas(added: DataFrame | None, removed: DataFrame | None, term: str,
 
 
 def merge_deltas(state: DataFrame | None, delta: DataFrame) -> DataFrame:
-    """The state after the delta; pairs that fall to zero vanish. A negative multiplicity is kept, so that a
-    deletion delivered before its addition cancels out later."""
-    if state is None:
-        return delta
-    return state.select("term", "record", "n").unionByName(delta).groupBy("term", "record").agg(F.sum("n").alias("n")).where("n <> 0")
+    """(term, record, was, n): the multiplicity before and after the delta. A negative multiplicity is kept, so
+    that a deletion delivered before its addition cancels out later."""
+    new = delta.select("term", "record", F.lit(0).cast("long").alias("was"), "n")
+    if state is not None:
+        new = new.unionByName(state.select("term", "record", F.col("n").alias("was"), "n"))
+    return new.groupBy("term", "record").agg(F.sum("was").alias("was"), F.sum("n").alias("n"))
 
 
-def counts(state: DataFrame) -> DataFrame:
-    """(term, occurrences, records) of every term with at least one occurrence."""
-    return (
-        state.where("n > 0").groupBy("term")
-        .agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
-    )
+def term_changes(merged: DataFrame) -> DataFrame:
+    """(term, occurrences, records): by how much the counts of each term change; pairs that don't count change nothing."""
+    held = lambda c: F.greatest(F.col(c), F.lit(0))
+    return merged.groupBy("term").agg(F.sum(held("n") - held("was")).alias("occurrences"), F.sum((F.col("n") > 0).cast("long") - (F.col("was") > 0).cast("long")).alias("records"))
 
 
 def mark(counted: DataFrame, n_records: int, threshold: float) -> DataFrame:
@@ -55,74 +61,109 @@ def mark(counted: DataFrame, n_records: int, threshold: float) -> DataFrame:
     return counted.withColumn("mark", F.when(share > F.lit(threshold), "common").when(F.col("records") == 1, "rare"))
 
 
+_PAIRS = "term string, record long, n long, part int"
+_COUNTS = "term string, occurrences long, records long, part int"
+
+
 class TermCountStore:
-    """The persistent partitioned counts, in a folder that all executors share.
+    """The persistent partitioned counts, in a folder that all executors share. Opening a folder that has a store
+    goes on with it.
 
-    Each apply() writes a new version of the touched partitions into its own folder and then switches the
-    driver's partition map, so a failed job leaves the former state whole.
+    Each apply() writes the touched partitions of both tables into folders of its own and then a new manifest,
+    which is what makes them the state. Partitions are doubled as the state grows beyond rows_per_part.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = PARTS):
-        self.spark, self.path, self.parts = spark, path or shared_folder(spark, "term-counts"), parts
-        self.at: dict[int, str] = {}
-        self.version = 0
+    def __init__(self, spark: SparkSession, path: str | None = None, rows_per_part: int = ROWS_PER_PART):
+        self.spark, self.path, self.rows_per_part = spark, path or shared_folder(spark, "term-counts"), rows_per_part
+        try:
+            kept = json.loads(read_text(spark, f"{self.path}/manifest.json"))
+        except NotFound:
+            kept = {"version": 0, "parts": 0, "rows": 0, "at": {}}
+        self.version, self.parts, self.rows = kept["version"], kept["parts"], kept["rows"]
+        self.at: dict[int, str] = {int(p): folder for p, folder in kept["at"].items()}
 
     def apply(self, added: DataFrame | None, removed: DataFrame | None, term: str, record: str) -> None:
-        part = F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int")
-        delta = signed_deltas(added, removed, term, record).withColumn("part", part)
+        """One change set. It is aggregated once, into a table; the state is read in the partitions it touches."""
         self.version += 1
-        first = f"{self.path}/d{self.version}"
-        delta.write.partitionBy("part").parquet(first)
-        new = self._read(first)
-        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most self.parts rows
+        there = f"{self.path}/v{self.version}-{uuid.uuid4().hex[:8]}"  # a change set that broke may have left its own
+        signed_deltas(added, removed, term, record).write.parquet(f"{there}/delta")
+        delta = self.spark.read.schema("term string, record long, n long").parquet(f"{there}/delta")
+        grown = self.rows + delta.count()
+        parts = max(1, self.parts)
+        while grown > parts * self.rows_per_part:
+            parts *= 2
+        whole = parts != self.parts  # another number of partitions: all are written anew
+        touched = sorted(self.at) if whole else [r[0] for r in delta.select(_part(parts)).distinct().collect()]  # a row per partition
         known = [p for p in touched if p in self.at]
+        merged = merge_deltas(self._read(known, "pairs", _PAIRS) if known else None, delta).withColumn("part", _part(parts))
+        self._write(merged, f"{there}/merged")
+        merged = self.spark.read.schema("term string, record long, was long, n long, part int").parquet(f"{there}/merged")
+        self._write(merged.where("n <> 0").select("term", "record", "n", "part"), f"{there}/pairs")
+        changes = term_changes(merged)
         if known:
-            old = self._read_parts(known)
-            merged = merge_deltas(old, new.where(F.col("part").isin(known)).select("term", "record", "n"))
-            there = f"{self.path}/v{self.version}"
-            merged.withColumn("part", part).write.partitionBy("part").parquet(there)
-            self.at |= {p: there for p in known}
-        self.at |= {p: first for p in touched if p not in known}
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("term string, record long, n long, part int").parquet(path)
-
-    def _read_parts(self, parts: list[int]) -> DataFrame:
+            changes = changes.unionByName(self._read(known, "counts", _COUNTS).select("term", "occurrences", "records")).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        self._write(changes.where("occurrences <> 0").withColumn("part", _part(parts)), f"{there}/counts")
+        if whole:
+            at = {p: there for p in range(parts)}
+        else:
+            at = self.at | {p: there for p in touched}
+        before = 0 if not known else self._read(known, "pairs", _PAIRS).count()
+        rows = self.rows - before + self.spark.read.schema(_PAIRS).parquet(f"{there}/pairs").count()
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"version": self.version, "parts": parts, "rows": rows, "at": at}))
+        self.at, self.parts, self.rows = at, parts, rows
+        for used in ("delta", "merged"):
+            _delete(self.spark, f"{there}/{used}")
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        """By partition, few files each; a partition with a hot term is split over several tasks."""
+        df.hint("rebalance", "part").write.partitionBy("part").parquet(path)
+
+    def _read(self, parts: list[int], table: str, schema: str) -> DataFrame:
         folders: dict[str, list[int]] = {}
         for p in parts:
             folders.setdefault(self.at[p], []).append(p)
-        frames = [self._read(path).where(F.col("part").isin(ps)).select("term", "record", "n") for path, ps in folders.items()]
+        frames = [self.spark.read.schema(schema).parquet(f"{path}/{table}").where(F.col("part").isin(ps)) for path, ps in folders.items()]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
         return out
 
-    def state(self) -> DataFrame:
+    def counts(self) -> DataFrame:
+        """(term, occurrences, records) of every term with at least one occurrence."""
         if not self.at:
-            return self.spark.createDataFrame([], "term string, record long, n long")
-        return self._read_parts(sorted(self.at))
+            return self.spark.createDataFrame([], "term string, occurrences long, records long")
+        return self._read(sorted(self.at), "counts", _COUNTS).select("term", "occurrences", "records")
+
+
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def concept_counts(paper_concepts: DataFrame, concepts: DataFrame, papers: DataFrame, threshold: float) -> DataFrame:
     """(concept_id, edges, papers, mark) of every concept id in paper_concepts, counted from the edges alone.
 
-    The rows delivered on time are the first load of the store; the rows delivered late are a second delta.
-    Ids are written as in concepts.id, or in folded form where concepts has none. Null ids are ignored; empty
-    tables give no rows.
+    The store is loaded with the rows delivered on time, under their ids as they are written. It is then opened
+    anew, and one change set adds the rows delivered late and moves each row whose id is another spelling:
+    removed under the old one, added under the folded one. Ids are written as in concepts.id, or in folded form
+    where concepts has none. Null ids are ignored; empty tables give no rows.
     """
     spark = paper_concepts.sparkSession
-    edges = paper_concepts.select(fold_id(F.col("concept_id")).alias("term"), F.col("paper_id").alias("record"), "recorded_at")
-    bounds = edges.agg(F.percentile_approx("recorded_at", 0.9, 1000).alias("q")).first()
-    cut = bounds["q"]
-    store = TermCountStore(spark)
-    if cut is None:
-        store.apply(edges, None, "term", "record")
-    else:
-        late = F.coalesce(F.col("recorded_at") > F.lit(cut), F.lit(False))
-        store.apply(edges.where(~late), None, "term", "record")
-        store.apply(edges.where(late), None, "term", "record")
+    edges = paper_concepts.select("concept_id", fold_id(F.col("concept_id")).alias("term"), F.col("paper_id").alias("record"), "recorded_at")
+    cut = edges.agg(F.percentile_approx("recorded_at", 0.9, 1000).alias("q")).first()["q"]
+    late = F.lit(False) if cut is None else F.coalesce(F.col("recorded_at") > F.lit(cut), F.lit(False))
+    first = TermCountStore(spark)
+    as_written = edges.where(~late).select(F.col("concept_id").alias("term"), "record")
+    first.apply(as_written, None, "term", "record")
+    store = TermCountStore(spark, first.path)
+    respelled = edges.where(~late).where("concept_id <> term")
+    store.apply(edges.where(late).select("term", "record").unionByName(respelled.select("term", "record")), respelled.select(F.col("concept_id").alias("term"), "record"), "term", "record")
     spelled = concepts.where("id is not null").groupBy(fold_id(F.col("id")).alias("term")).agg(F.min("id").alias("id"))
-    counted = mark(counts(store.state()), papers.count(), threshold)
+    counted = mark(store.counts(), papers.count(), threshold)
     return counted.join(spelled, "term", "left").select(
         F.coalesce("id", "term").alias("concept_id"), F.col("occurrences").alias("edges"), F.col("records").alias("papers"), "mark"
     )

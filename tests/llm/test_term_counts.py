@@ -1,6 +1,9 @@
 import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from quillgraph.llm import term_counts as T
 
 SCHEMA = "term string, record bigint, n string"
@@ -18,7 +21,7 @@ def count(rows):
 
 def test_deltas_give_what_a_recount_gives(spark, tmp_path):
     random.seed(1)
-    store = T.TermCountStore(spark, str(tmp_path / "s"), parts=4)
+    path = str(tmp_path / "s")
     now: list = []
     for _ in range(3):
         added = [(random.choice([*"abcdefg", None]), random.randint(1, 5)) for _ in range(40)] + [("hot", n) for n in range(20)]
@@ -26,31 +29,49 @@ def test_deltas_give_what_a_recount_gives(spark, tmp_path):
         for g in gone:
             now.remove(g)
         now += added
-        store.apply(frame(spark, added), frame(spark, gone), "term", "record")
-        assert {tuple(r) for r in T.counts(store.state()).collect()} == count(now)
+        # each change set meets a store that was opened anew
+        T.TermCountStore(spark, path, rows_per_part=20).apply(frame(spark, added), frame(spark, gone), "term", "record")
+        store = T.TermCountStore(spark, path)
+        assert {tuple(r) for r in store.counts().collect()} == count(now)
+        assert store.rows == len({r for r in now if r[0] is not None}) and store.parts * 20 >= store.rows
+    assert store.parts > 1 and store.version == 3
 
 
 def test_a_deletion_may_come_first(spark, tmp_path):
-    store = T.TermCountStore(spark, str(tmp_path / "s"), parts=2)
+    store = T.TermCountStore(spark, str(tmp_path / "s"))
     store.apply(None, frame(spark, [("a", 1)]), "term", "record")
-    assert T.counts(store.state()).count() == 0
+    assert store.counts().count() == 0
     store.apply(frame(spark, [("a", 1), ("a", 2)]), None, "term", "record")
-    assert [tuple(r) for r in T.counts(store.state()).collect()] == [("a", 1, 1)]
+    assert [tuple(r) for r in store.counts().collect()] == [("a", 1, 1)]
 
 
 def test_only_touched_parts_are_rewritten(spark, tmp_path):
-    store = T.TermCountStore(spark, str(tmp_path / "s"), parts=8)
+    store = T.TermCountStore(spark, str(tmp_path / "s"), rows_per_part=2)
     store.apply(frame(spark, [(t, 1) for t in "abcdefghijkl"]), None, "term", "record")
     before = dict(store.at)
+    assert store.parts == 8
+    store.rows_per_part = 100
     store.apply(frame(spark, [("a", 9)]), None, "term", "record")
     assert sum(before[p] != store.at[p] for p in before) == 1
 
 
 def test_empty(spark, tmp_path):
-    assert T.TermCountStore(spark, str(tmp_path / "s")).state().count() == 0
+    assert T.TermCountStore(spark, str(tmp_path / "s")).counts().count() == 0
     store = T.TermCountStore(spark, str(tmp_path / "t"))
     store.apply(frame(spark, []), None, "term", "record")
-    assert store.state().count() == 0
+    assert store.counts().count() == 0
+
+
+def test_a_broken_change_set_leaves_the_state_whole(spark, tmp_path):
+    path = str(tmp_path / "s")
+    T.TermCountStore(spark, path).apply(frame(spark, [("a", 1)]), None, "term", "record")
+    bad = frame(spark, [("b", 1)]).withColumn("record", F.expr("raise_error('lost')").cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        T.TermCountStore(spark, path).apply(bad, None, "term", "record")
+    assert [tuple(r) for r in T.TermCountStore(spark, path).counts().collect()] == [("a", 1, 1)]
+    T.TermCountStore(spark, path).apply(frame(spark, [("b", 1)]), frame(spark, [("a", 1)]), "term", "record")
+    assert [tuple(r) for r in T.TermCountStore(spark, path).counts().collect()] == [("b", 1, 1)]
+    T.TermCountStore(spark, path + "x").apply(frame(spark, [("a", 1)]), frame(spark, [("a", 1)]), "term", "record")
 
 
 def test_marks_and_spelling(spark):
