@@ -21,7 +21,24 @@ WITH e AS (
 )
 """
 
+# runs of five words, as leakage.words has them
+_P7 = r"""
+WITH d AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(lower(replace(regexp_replace(text, '(\p{L})[-\x{2010}\x{ad}][ \t]*\r?\n[ \t]*(\p{L})', '\1\2', 'g'), chr(173), '')), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), i AS (
+  SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM heldout_passages WHERE text IS NOT NULL
+), dr AS (
+  SELECT DISTINCT doc_id, array_to_string(w[n:n + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS n FROM d)
+), ir AS (
+  SELECT item_id, n, len(w) AS words, array_to_string(w[n:n + 4], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS n FROM i)
+), m AS (
+  SELECT doc_id, item_id, any_value(words) AS item_words, count(DISTINCT k) AS covered_words
+  FROM (SELECT doc_id, item_id, words, unnest(range(n, n + 5)) AS k FROM dr JOIN ir USING (run)) GROUP BY 1, 2
+)
+"""
+
 SQL = {
+    "p7_found": _P7 + "SELECT doc_id, item_id FROM m WHERE covered_words >= 0.5 * item_words",
     "p4_counts": _P4 + "SELECT concept_id, edges, papers, mark FROM m",
     "p4_found": _P4 + "SELECT concept_id, mark FROM m WHERE mark IS NOT NULL",
     "p5_found": rf"""
