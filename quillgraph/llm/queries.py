@@ -59,7 +59,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """One row per piece of every listed page; a page delivered twice counts once."""
-    cut = split_pages(load(spark, d, "pages"), load(spark, d, "index_manifests")).dropDuplicates(["paper_id", "page"])
+    once = load(spark, d, "pages").select("paper_id", "page", "text").dropDuplicates(["paper_id", "page"])
+    cut = split_pages(once, load(spark, d, "index_manifests"))
     return cut.select("paper_id", "page", F.posexplode("pieces").alias("piece", "text"))
 
 

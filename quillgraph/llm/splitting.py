@@ -1,9 +1,9 @@
 """Problem 5: splitting oversized items at natural boundaries, in Spark SQL functions only.
 
-The text becomes an array of words, each with the white space behind it, and a string with one letter per
-word for the boundary that follows it: p paragraph, s sentence, l line, c comma or semicolon, w word. One
-regular expression with bounded quantifiers consumes that string: its alternatives are ordered by boundary
-strength and each takes up to the limit. Overlap is a look back into the word array.
+The text becomes an array of words, each with the white space behind it and the marker lines before it, and a
+string with one letter per word for the boundary that follows it: p paragraph, s sentence, l line, c comma or
+semicolon, w word. One regular expression with bounded quantifiers consumes that string: its alternatives are
+ordered by boundary strength and each takes up to the limit. Overlap is a look back into the word array.
 """
 
 from __future__ import annotations
@@ -11,22 +11,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, let, without_marker_lines
+from .common import MARKER_LINE, WHITE_SPACE, WORD_SIGN, let, without_marker_lines
 
 _HELD = "__quillgraph_split"
-_WORDS = f"[^{WHITE_SPACE}]+[{WHITE_SPACE}]*"
+#: Papers whose limits are sent to every worker (some 40 MB); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+#: Signs that no text has (noncharacters), around a marker line while a text is split.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+_WORDS = f"(?:{_OPEN}[^{_CLOSE}]*+{_CLOSE}[{WHITE_SPACE}]*+)*+{WORD_SIGN}++[{WHITE_SPACE}]*+(?:(?:{_OPEN}[^{_CLOSE}]*+{_CLOSE}[{WHITE_SPACE}]*+)++$)?"
 _BREAK = r"\n\r\x{85}\x{2028}\x{2029}"
 _BOUNDARIES = (
-    ("p", rf"(?:\r\n|[{_BREAK}])[{WHITE_SPACE}&&[^{_BREAK}]]*(?:\r\n|[{_BREAK}])"),
+    ("p", rf"(?:\r\n|[{_BREAK}])[\x09\x0b\x0c\x1c- \x{{a0}}\x{{3000}}]*(?:\r\n|[{_BREAK}])[{WHITE_SPACE}]*$"),
     ("s", rf"[.!?\x{{2026}}\x{{3002}}\x{{ff01}}\x{{ff1f}}][\"'\x{{201d}}\x{{2019}}\x{{300d}})\]]*[{WHITE_SPACE}]*$"),
-    ("l", rf"[{_BREAK}]"),
+    ("l", rf"[{_BREAK}][{WHITE_SPACE}]*$"),
     ("c", rf"[,;:\x{{3001}}\x{{ff0c}}\x{{ff1b}}][{WHITE_SPACE}]*$"),
 )
 
 
+def count_words(text: Column) -> Column:
+    """Words between white space; marker lines don't count. Null for null."""
+    return F.regexp_count(without_marker_lines(text), F.lit(WORD_SIGN + "++"))
+
+
 def words(text: Column) -> Column:
-    """The words of a text with the white space behind each; marker lines don't count. Null for null."""
-    return F.regexp_extract_all(without_marker_lines(text), F.lit(_WORDS), F.lit(0))
+    """The words of a text, each with the white space behind it and the marker lines before it; the last one has
+    those behind it, too. Null for null; a text without words has none."""
+    marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, ""), MARKER_LINE, f"{_OPEN}$0{_CLOSE}")
+    plain = lambda w: F.translate(w, _OPEN + _CLOSE, "")
+    return F.transform(F.regexp_extract_all(marked, F.lit(_WORDS), F.lit(0)), plain)
 
 
 def _trimmed(piece: Column) -> Column:
@@ -54,8 +66,9 @@ def split_words(df: DataFrame, text: str, limit: str, overlap: str) -> DataFrame
     """Adds n_words and pieces (array<string>); every piece has at most `limit` words.
 
     Consecutive pieces share `overlap` words (at most limit - 1). A text within its limit is one piece; a null
-    text or limit, or a limit under 1, gives null pieces; a blank text gives none. The pieces, without their
-    overlap, hold every word in order.
+    text or limit, or a limit under 1, gives null pieces; a text without words gives none, or itself if it has
+    marker lines. Marker lines don't count as words and stay with the word behind them, at the end with the one
+    before. The pieces, without their overlap, hold every word and marker line in order.
     """
     most = F.col(limit)
     shared = F.greatest(F.lit(0), F.least(F.coalesce(F.col(overlap), F.lit(0)), most - 1))
@@ -69,12 +82,12 @@ def split_words(df: DataFrame, text: str, limit: str, overlap: str) -> DataFrame
     def piece(w: Column, at: Column, n: Column) -> Column:
         return _trimmed(F.array_join(F.slice(w, at - F.least(at, shared) + 1, n + F.least(at, shared)), ""))
 
-    def pieces(w: Column) -> Column:
-        whole = F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array(_trimmed(F.array_join(w, ""))))
-        return F.when(most.isNull() | (most < 1), None).when(F.size(w) <= most, whole).otherwise(cut(w))
+    def pieces(n: Column) -> Column:
+        whole = F.filter(F.array(F.regexp_replace(F.col(text), f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")), lambda t: t != "")
+        return F.when(most.isNull() | (most < 1), None).when(n <= most, whole).otherwise(let(words(F.col(text)), cut))
 
-    both = F.when(F.col(text).isNotNull(), let(words(F.col(text)), lambda w: F.struct(F.size(w).alias("n_words"), pieces(w).alias("pieces"))))
-    # the generator keeps the optimizer from computing the split again for each use of it
+    # a count is cheap, and most texts need no more; the generator keeps the optimizer from computing it all again for each use of it
+    both = F.when(F.col(text).isNotNull(), let(count_words(F.col(text)), lambda n: F.struct(n.alias("n_words"), pieces(n).alias("pieces"))))
     return df.select(*[df[f"`{c}`"] for c in df.columns if c not in ("n_words", "pieces")], F.explode(F.array(both)).alias(_HELD)).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_words", "pieces")], f"{_HELD}.n_words", f"{_HELD}.pieces")
 
 
@@ -114,5 +127,7 @@ def page_limits(manifests: DataFrame) -> DataFrame:
 
 def split_pages(pages: DataFrame, manifests: DataFrame) -> DataFrame:
     """(paper_id, page, n_words, chunk_max_tokens, pieces) of the delivered rows of pages in some manifest."""
-    rows = pages.select("paper_id", "page", "text").join(page_limits(manifests), "paper_id")
+    limits = page_limits(manifests)
+    few = limits.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = pages.select("paper_id", "page", "text").join(F.broadcast(limits) if few else limits, "paper_id")
     return split_words(rows, "text", "chunk_max_tokens", "chunk_overlap_tokens").drop("text")

@@ -21,6 +21,41 @@ WITH e AS (
 )
 """
 
+# words with what stands around them, a letter for the boundary behind each, then cut by cut; marker lines between U+FDD0 and U+FDD1
+_MARK = r"(?m)^([\x{09}\x{0b}\x{0c}\x{1c}-\x{20}\x{a0}\x{3000}]*<!-- (?:figure|equation): \d+ -->[\x{09}\x{0b}-\x{0d}\x{1c}-\x{20}\x{a0}\x{3000}]*)$"
+_TOKEN = rf"(?:\x{{fdd0}}[^\x{{fdd1}}]*\x{{fdd1}}{_WS}*)*{_WS.replace('[', '[^', 1)[:-1]}\x{{fdd0}}\x{{fdd1}}]+{_WS}*(?:(?:\x{{fdd0}}[^\x{{fdd1}}]*\x{{fdd1}}{_WS}*)+$)?"
+_END = r"[\n\r\x{85}\x{2028}\x{2029}]"
+_P5 = rf"""
+WITH RECURSIVE m AS (
+  SELECT r.paper_id, min(struct_pack(most := r.chunk_max_tokens, shared := coalesce(r.chunk_overlap_tokens, 0))) AS l FROM (SELECT unnest(paper_ids) AS paper_id, chunk_max_tokens, chunk_overlap_tokens FROM index_manifests) r WHERE chunk_max_tokens IS NOT NULL GROUP BY 1
+), p AS (
+  SELECT paper_id, page, any_value(text) AS text FROM pages GROUP BY 1, 2
+), t AS (
+  SELECT p.paper_id, page, text, l.most AS most, greatest(0, least(l.shared, l.most - 1)) AS shared, regexp_extract_all(regexp_replace(text, '{_MARK}', chr(64976) || '\1' || chr(64977), 'g'), '{_TOKEN}') AS w
+  FROM p JOIN m ON m.paper_id = p.paper_id WHERE text IS NOT NULL AND l.most >= 1
+), c AS (
+  SELECT *, array_to_string(list_transform(w, lambda x: CASE
+    WHEN regexp_matches(x, '(?:\r\n|{_END})[\x{{09}}\x{{0b}}\x{{0c}}\x{{1c}}-\x{{20}}\x{{a0}}\x{{3000}}]*(?:\r\n|{_END}){_WS}*$') THEN 'p'
+    WHEN regexp_matches(x, '[.!?\x{{2026}}\x{{3002}}\x{{ff01}}\x{{ff1f}}]["''\x{{201d}}\x{{2019}}\x{{300d}})\]]*{_WS}*$') THEN 's'
+    WHEN regexp_matches(x, '{_END}{_WS}*$') THEN 'l' WHEN regexp_matches(x, '[,;:\x{{3001}}\x{{ff0c}}\x{{ff1b}}]{_WS}*$') THEN 'c' ELSE 'w' END), '') AS code
+  FROM t WHERE len(w) > most
+), s AS (
+  SELECT paper_id, page, -1 AS piece, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS n FROM c
+  UNION ALL
+  SELECT paper_id, page, piece + 1, done, CASE
+    WHEN length(code) - done <= fresh THEN length(code) - done
+    WHEN strpos(back, 'p') BETWEEN 1 AND room THEN fresh - strpos(back, 'p') + 1 WHEN strpos(back, 's') BETWEEN 1 AND room THEN fresh - strpos(back, 's') + 1
+    WHEN strpos(back, 'l') BETWEEN 1 AND room THEN fresh - strpos(back, 'l') + 1 WHEN strpos(back, 'c') BETWEEN 1 AND room THEN fresh - strpos(back, 'c') + 1 ELSE fresh END
+  FROM (
+    SELECT s.paper_id, s.page, s.piece, s.pos + s.n AS done, c.code, c.most - c.shared AS fresh, c.most - c.shared - greatest(1, (c.most - c.shared) // 2) + 1 AS room, reverse(substr(c.code, CAST(s.pos + s.n + 1 AS BIGINT), c.most - c.shared)) AS back
+    FROM s JOIN c USING (paper_id, page) WHERE s.pos + s.n < length(c.code)
+  )
+)
+SELECT paper_id, page, CAST(piece AS INTEGER) AS piece, regexp_replace(translate(array_to_string(w[pos - least(pos, shared) + 1:pos + n], ''), chr(64976) || chr(64977), ''), '{_WS}+$', '') AS text FROM s JOIN c USING (paper_id, page) WHERE piece >= 0
+UNION ALL
+SELECT paper_id, page, 0, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') FROM t WHERE len(w) <= most AND regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') <> ''
+"""
+
 # runs of five words, as leakage.words has them
 _P7 = r"""
 WITH d AS (
@@ -38,6 +73,7 @@ WITH d AS (
 """
 
 SQL = {
+    "p5_pieces": _P5,
     "p7_found": _P7 + "SELECT doc_id, item_id FROM m WHERE covered_words >= 0.5 * item_words",
     "p4_counts": _P4 + "SELECT concept_id, edges, papers, mark FROM m",
     "p4_found": _P4 + "SELECT concept_id, mark FROM m WHERE mark IS NOT NULL",

@@ -1,7 +1,9 @@
 import random
+import re
 
 import pytest
 
+from quillgraph.llm import splitting
 from quillgraph.llm.splitting import split_characters, split_pages, split_words
 
 SCHEMA = "text string, most int, shared int, pieces string, _split int"
@@ -48,6 +50,25 @@ def test_whole_null_blank_and_markers(spark):
     assert pieces(spark, "a <!-- figure: 1 --> c", 9)[0] == 6
 
 
+def test_marker_lines_stay_in_their_pieces(spark):
+    text = "<!-- figure: 1 -->\na b c.\n  <!-- equation: 2 -->\nd e f.\n\n<!-- figure: 3 -->\n<!-- figure: 4 -->\ng h\n<!-- equation: 5 -->\n"
+    n, got = pieces(spark, text, 3)
+    assert n == 8 and got == ["<!-- figure: 1 -->\na b c.", "  <!-- equation: 2 -->\nd e f.", "<!-- figure: 3 -->\n<!-- figure: 4 -->\ng h\n<!-- equation: 5 -->"]
+    assert pieces(spark, text, 8)[1] == [text.strip()]
+    assert pieces(spark, "\n<!-- figure: 1 -->\n", 8) == (0, ["<!-- figure: 1 -->"])
+    _, lapped = pieces(spark, text, 4, 1)
+    assert lapped[1].startswith("c.\n  <!-- equation: 2 -->") and all(len(re.sub("<!--.*?-->", "", p).split()) <= 4 for p in lapped)
+
+
+def test_limits_of_many_papers_are_joined_without_a_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, 1, "a b c d")], "paper_id bigint, page int, text string")
+    m = spark.createDataFrame([([1, 2], 3, 0)], "paper_ids array<bigint>, chunk_max_tokens int, chunk_overlap_tokens int")
+    plan = lambda: split_pages(pages, m)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(splitting, "MOST_BROADCAST", 1)
+    assert "strategy=broadcast" not in plan() and split_pages(pages, m).first()["n_words"] == 4
+
+
 def test_very_long_text(spark):
     n, got = pieces(spark, "word " * 60_000, 512, 24)
     assert n == 60_000 and max(len(p.split()) for p in got) <= 512
