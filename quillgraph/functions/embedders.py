@@ -29,11 +29,13 @@ class Embedder(Protocol):
 class HashEmbedder:
     """A stand-in without a model: equal texts get equal unit vectors, whatever the machine.
 
-    The vector is drawn from a normal distribution seeded by the first eight bytes of the text's SHA-256.
+    Each component is read off a BLAKE2 digest of the text, keyed by the component's place.
     """
 
-    model_name = "fake-8"
-    size = 8
+    def __init__(self, size: int = 8):
+        if size < 1:
+            raise ValueError("a vector has at least one component")
+        self.size, self.model_name = size, f"hash-{size}"
 
     def embed_documents(self, texts: Sequence[str]) -> np.ndarray:
         return np.stack([self._vector(t) for t in texts]) if len(texts) else np.empty((0, self.size), np.float32)
@@ -41,9 +43,10 @@ class HashEmbedder:
     embed_queries = embed_documents
 
     def _vector(self, text: str) -> np.ndarray:
-        seed = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
-        x = np.random.default_rng(seed).normal(size=self.size)
-        return (x / np.linalg.norm(x)).astype(np.float32)
+        raw = text.encode()
+        blocks = (hashlib.blake2b(raw, salt=n.to_bytes(8, "little")).digest() for n in range(-(-self.size // 16)))
+        x = np.frombuffer(b"".join(blocks), dtype="<i4")[: self.size] / 2**31
+        return (x / np.linalg.norm(x)).astype(np.float32) if x.any() else np.eye(1, self.size, dtype=np.float32)[0]
 
 
 class SentenceModelEmbedder:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,14 +81,18 @@ def stated_relations(relations: DataFrame, bridge: DataFrame) -> DataFrame:
     return kept.groupBy("source_id", "target_id", "relation").agg(F.array_sort(F.collect_set("paper_id")).alias("paper_ids"), F.min("edge_pos").alias("first_pos"))
 
 
-def build_graph(papers: DataFrame, concepts: DataFrame, paper_concepts: DataFrame, concept_relations: DataFrame, general: DataFrame, chunk_evidence: DataFrame) -> Graph:
+def build_graph(
+    papers: DataFrame, concepts: DataFrame, paper_concepts: DataFrame, concept_relations: DataFrame, general: DataFrame, chunk_evidence: DataFrame, bridge: DataFrame | None = None,
+) -> Graph:
     """papers: paper_id, corpus_pos. paper_concepts: paper_id, local_id, relation, evidence, edge_pos.
     concept_relations: paper_id, source_local, target_local, relation, evidence, edge_pos. general: source_id,
-    target_id, relation, rationale. chunk_evidence: paper_id, page, quote, chunk_id.
+    target_id, relation, rationale. chunk_evidence: paper_id, page, quote, chunk_id. With a bridge (paper_id,
+    local_id, concept_id; see slug_bridge) of its own, concepts are the nodes as they are.
 
     Raises GraphError for a local concept without slug and for a quote without chunk.
     """
-    bridge = slug_bridge(concepts)
+    nodes = concepts if bridge is not None else concept_nodes(concepts)
+    bridge = slug_bridge(concepts) if bridge is None else bridge
     edges = with_slugs(paper_concepts, bridge, {"local_id": "concept_id"})
     relations = with_slugs(concept_relations, bridge, {"source_local": "source_id", "target_local": "target_id"})
     lost = edges.where("concept_id is null").select("paper_id", "relation").unionByName(relations.where("source_id is null or target_id is null").select("paper_id", "relation"))
@@ -102,18 +106,18 @@ def build_graph(papers: DataFrame, concepts: DataFrame, paper_concepts: DataFram
         "source_id", "target_id", "relation", F.lit("general_knowledge").alias("origin"), F.lit(None).cast("bigint").alias("paper_id"), F.lit(None).cast(stated.schema["evidence"].dataType).alias("evidence"), "rationale"
     )
     empty = F.array().cast(stated.schema["evidence"].dataType)
-    return Graph(papers, concept_nodes(concepts), node_edges.drop("edge_pos"), paper_origin.unionByName(added).withColumn("evidence", F.coalesce("evidence", empty)))
+    return Graph(papers, nodes, node_edges.drop("edge_pos"), paper_origin.unionByName(added).withColumn("evidence", F.coalesce("evidence", empty)))
 
 
 def _with_chunks(edges: DataFrame, chunk_evidence: DataFrame) -> DataFrame:
     """The edges with chunk ids in their evidence; a quote without chunk is an error."""
     keys = [c for c in edges.columns if c not in ("evidence",)]
-    rows = edges.select(*keys, F.posexplode("evidence").alias("n", "e")).select(*keys, "n", "e.page", "e.quote")
+    rows = edges.select(*keys, F.posexplode_outer("evidence").alias("n", "e")).select(*keys, "n", "e.page", "e.quote")
     joined = rows.join(chunk_evidence.select("paper_id", "page", "quote", "chunk_id"), ["paper_id", "page", "quote"], "left")
-    lost = joined.where("chunk_id is null").select("paper_id", "page", "quote")
+    lost = joined.where("chunk_id is null and n is not null").select("paper_id", "page", "quote")
     if rows := lost.orderBy("paper_id", "page", "quote").limit(20).collect():
         raise GraphError("quotes without chunk", [tuple(r) for r in rows], lost.count())
-    return joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", F.struct("page", "quote", "chunk_id").alias("e")))).alias("x")).select(*keys, F.transform("x", lambda v: v["e"]).alias("evidence"))
+    return joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", F.struct("page", "quote", "chunk_id").alias("e"))))).alias("x")).select(*keys, F.transform("x", lambda v: v["e"]).alias("evidence"))
 
 
 def graph_edges(graph: Graph) -> DataFrame:
@@ -121,8 +125,3 @@ def graph_edges(graph: Graph) -> DataFrame:
     a = graph.paper_concepts.select(F.concat(F.lit("paper:"), F.col("paper_id").cast("string")).alias("source"), F.col("concept_id").alias("target"), F.col("relation").alias("key"), "relation")
     b = graph.concept_relations.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.concat_ws(":", "relation", "origin", F.col("paper_id").cast("string")).alias("key"), "relation")
     return a.unionByName(b)
-
-
-def first_positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Numbers rows from 0 in the given order; the last step of a plan, as it gathers the order in one window."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)

@@ -15,7 +15,7 @@ from ..operators.graph import build_graph
 from ..operators.items import embedding_items, numbered
 from ..operators.merging import check_normalization
 from ..sources import corpus, index_store
-from ..sources.folders import shared_folder
+from ..sources.folders import shared_folder, written
 
 
 class Rejected(ValueError):
@@ -97,9 +97,9 @@ def build_index(spark: SparkSession, data_dir: str, embedder: Embedder, max_toke
     concepts, general = corpus.normalization(spark, data_dir)
     if rows := findings(check_normalization(concepts, c.extractions["concepts"])):
         raise Rejected("normalization_mismatch", rows)
-    chunks = chunk_pages(c.pages, max_tokens, tokenizer)
+    chunks = written(chunk_pages(c.pages, max_tokens, tokenizer), "chunks")
     quotes = exploded_evidence(c.extractions["paper_concepts"], "paper_id").unionByName(exploded_evidence(c.extractions["concept_relations"], "paper_id"))
-    resolved = resolve_evidence(quotes, chunks)
+    resolved = written(resolve_evidence(quotes, chunks), "resolved-evidence")
     if rows := findings(resolved.where("chunk_id is null").select("paper_id", "page", "quote").orderBy("paper_id", "page", "quote")):
         raise Rejected("unresolved_evidence", rows)
     order = c.ledger.select("paper_id", "corpus_pos")
@@ -107,7 +107,7 @@ def build_index(spark: SparkSession, data_dir: str, embedder: Embedder, max_toke
     summaries = c.extractions["papers"].select("paper_id", F.col("summary_ja").alias("text")).join(order, "paper_id")
     items = numbered(embedding_items(chunks.join(order, "paper_id"), summaries, concepts)).withColumn("vector", embedded(F.col("text"), embedder))
     dimension = len(embedder.embed_documents(["dimension"])[0])
-    manifest = index_store.Manifest(embedder.model_name, dimension, max_tokens, order.count())
+    manifest = index_store.Manifest(embedder.model_name, dimension, max_tokens, [r[0] for r in order.orderBy("corpus_pos").collect()])  # the ledger is one file, and so is the manifest
     tables = {"chunks": chunks, "items": items.select("row_idx", "kind", "ref", "paper_id", "text", "vector"), "papers": order, "concepts": graph.concepts, "paper_concepts": graph.paper_concepts, "concept_relations": graph.concept_relations}
     index_store.write_index(spark, data_dir, tables, manifest)
     return index_counts(index_store.read_index(spark, data_dir))
@@ -115,4 +115,4 @@ def build_index(spark: SparkSession, data_dir: str, embedder: Embedder, max_toke
 
 def index_counts(index: index_store.Index) -> dict[str, int]:
     g = index.graph
-    return {"papers": index.manifest.n_papers} | {n: t.count() for n, t in (("chunks", index.chunks), ("items", index.items), ("concepts", g.concepts), ("paper_concepts", g.paper_concepts), ("concept_relations", g.concept_relations))}
+    return {"papers": len(index.manifest.paper_ids)} | {n: t.count() for n, t in (("chunks", index.chunks), ("items", index.items), ("concepts", g.concepts), ("paper_concepts", g.paper_concepts), ("concept_relations", g.concept_relations))}

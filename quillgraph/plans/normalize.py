@@ -18,7 +18,7 @@ from ..functions.embedders import Embedder, embedded
 from ..functions.text import concept_text
 from ..operators import integrity, merging
 from ..operators.graph import slug_bridge, stated_relations
-from ..operators.vectors import candidate_pairs
+from ..operators.vectors import candidate_pairs, top_items
 from ..sources import corpus, schemas
 from . import prompts
 from .agents import StructuredAgent, json_schema
@@ -45,7 +45,10 @@ def ask(stage: str, agent: StructuredAgent, prompt: Callable[[object | None, lis
 
 
 def extracted_pairs(concepts: DataFrame, embedder: Embedder, neighbors: int) -> list[dict]:
-    """Candidate pairs of all concepts by exact search, best first; the concepts are numbered in corpus order."""
+    """Candidate pairs of all concepts by exact search, best first; the concepts are numbered in corpus order.
+
+    Every concept is held against every other: this stage is for vocabularies that fit into an agent's prompt, which lists them all.
+    """
     order = ["corpus_pos", "pos"]
     from pyspark.sql import Window
 
@@ -54,7 +57,7 @@ def extracted_pairs(concepts: DataFrame, embedder: Embedder, neighbors: int) ->
         rows = table.select("row_idx", "vector").orderBy("row_idx").collect()  # the prompt lists every concept
         if len(rows) < 2:
             return []
-        found = candidate_pairs(table, [r[0] for r in rows], np.array([r[1] for r in rows]), neighbors)
+        found = candidate_pairs(top_items(table, [r[0] for r in rows], np.array([r[1] for r in rows]), neighbors + 1), neighbors)
         names = table.select("row_idx", "paper_id", "local_id")
         left = names.select(F.col("row_idx").alias("left_idx"), F.col("paper_id").alias("left_paper"), F.col("local_id").alias("left_local"))
         right = names.select(F.col("row_idx").alias("right_idx"), F.col("paper_id").alias("right_paper"), F.col("local_id").alias("right_local"))

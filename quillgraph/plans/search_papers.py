@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embedders import Embedder
 from ..operators.graph import Graph
-from ..operators.traversal import NeighborhoodTraversal, SearchConfig, TraversalStrategy, edge_id, graph_candidates, rank_reached
+from ..operators.traversal import NeighborhoodTraversal, SearchConfig, TraversalStrategy, edge_id, graph_candidates, rank_reached, reached_papers
 from ..operators.vectors import check_search_inputs, concepts_to_papers, group_hits, paper_hits, top_items
 from ..sources import corpus, index_store
 from ..sources.folders import written
+from ..sources.index_store import Index
 
 
 class ModelMismatch(ValueError):
@@ -31,55 +33,99 @@ def check_queries(queries: Sequence[str]) -> None:
         raise ValueError("queries must not repeat")
 
 
-def search_tables(
-    graph: Graph, items: DataFrame, query_ids: Sequence[int], query_vectors, n_papers: int, config: SearchConfig, strategy: TraversalStrategy | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(hits, direct, paths, reached): hits per paper; direct (paper_id, best_score); all paths; graph candidates (paper_id, n_paths, rank).
+@dataclass(frozen=True)
+class Found:
+    """What a search finds, as tables: hits (query_id, kind, ref, text, score, rank, paper_id), direct (paper_id,
+    best_score, n_hits), reached (paper_id, n_paths, rank), and the paths of these candidates."""
 
-    The top items are computed at once, the rest is lazy; the direct papers are at most queries * top_k * papers of a concept.
-    """
-    top = written(top_items(items, query_ids, query_vectors, config.top_k), "top-items")
-    hits = paper_hits(top, items, concepts_to_papers(graph.paper_concepts))
-    direct = hits.groupBy("paper_id").agg(F.max("score").alias("best_score"))
-    paths = (strategy or NeighborhoodTraversal()).traverse(graph, direct, n_papers, config)
-    reached = graph_candidates(rank_reached(paths), direct, config.max_graph_candidates)
-    return hits, direct, paths, reached
+    hits: DataFrame
+    direct: DataFrame
+    reached: DataFrame
+    paths: DataFrame
 
 
-def _paths_of(paths: DataFrame, keep: DataFrame) -> DataFrame:
-    """(paper_id, paths) of the listed papers, in a defined order: source, hops, target."""
-    rows = paths.join(keep.select(F.col("paper_id").alias("target_paper_id")), "target_paper_id", "left_semi")
-    p = F.struct("source_paper_id", "source_relation", "visited", "edges", "target_relation", "forward")
-    return rows.groupBy(F.col("target_paper_id").alias("paper_id")).agg(F.array_sort(F.collect_list(p)).alias("paths"))
+def search_tables(graph: Graph, items: DataFrame, top: DataFrame, n_papers: int, config: SearchConfig, strategy: TraversalStrategy | None = None) -> Found:
+    """From the top items of each query (query_id, row_idx, score, rank) to the candidates.
 
+    Papers are ranked by counts of their paths; paths are only made for the candidates, whose edges are filtered
+    before the last join. A strategy of one's own is ranked over all its paths.
+    """
+    hits = written(paper_hits(top, items, concepts_to_papers(graph.paper_concepts)), "hits")
+    direct = written(hits.groupBy("paper_id").agg(F.max("score").alias("best_score"), F.count(F.lit(1)).alias("n_hits")), "direct-papers")
+    if strategy is None:
+        counted = reached_papers(graph, direct, n_papers, config)
+    else:
+        walked = strategy.traverse(graph, direct, n_papers, config)
+        counted = rank_reached(walked)
+    reached = written(graph_candidates(counted, direct, config.max_graph_candidates), "reached-papers")
+    wanted = direct.select("paper_id").unionByName(reached.select("paper_id"))
+    if strategy is None:
+        paths = NeighborhoodTraversal().traverse(graph, direct, n_papers, config, wanted)
+    else:
+        paths = walked.join(wanted.withColumnRenamed("paper_id", "target_paper_id"), "target_paper_id", "left_semi")
+    return Found(hits, direct, reached, paths)
+
+
+def candidates(found: Found, meta: DataFrame) -> DataFrame:
+    """(kind, place, paper_id, best_score, n_paths, meta columns), one row per candidate: direct ones by best score,
+    then paper; graph ones by number of paths, then paper. meta: paper_id and what is to be told of it."""
+    none = F.lit(None)
+    direct = found.direct.select(F.lit("direct").alias("kind"), "paper_id", "best_score", none.cast("bigint").alias("n_paths"), none.cast("int").alias("place"))
+    around = found.reached.select(F.lit("graph").alias("kind"), "paper_id", none.cast("double").alias("best_score"), "n_paths", F.col("rank").cast("int").alias("place"))
+    return direct.unionByName(around).join(meta, "paper_id", "left")
+
+
+def _paths_of(paths: DataFrame) -> DataFrame:
+    """(paper_id, paths) in a defined order: source, hops, target."""
+    p = F.struct("source_paper_id", "source_relation", "visited", "edges", "target_relation", "forward")
+    return paths.groupBy(F.col("target_paper_id").alias("paper_id")).agg(F.array_sort(F.collect_list(p)).alias("paths"))
 
-def search(spark: SparkSession, data_dir: str, queries: Sequence[str], embedder: Embedder, config: SearchConfig | None = None, strategy: TraversalStrategy | None = None) -> dict:
-    """The result of a search as one document: queries, config, direct_candidates, graph_candidates.
 
-    Direct candidates come by best score, then paper id, with every hit and every path that ends at them; graph
-    candidates by number of paths, then paper id. Only these candidates reach the driver.
-    """
-    config = config or SearchConfig()
+def find(spark: SparkSession, data_dir: str, queries: Sequence[str], embedder: Embedder, config: SearchConfig, strategy: TraversalStrategy | None = None) -> tuple[Index, Found]:
+    """The index and what the queries find in it, before anything reaches the driver but the queries' vectors."""
     check_queries(queries)
     index = index_store.read_index(spark, data_dir)
     if index.manifest.embedding_model != embedder.model_name:
         raise ModelMismatch(index.manifest.embedding_model, embedder.model_name)
     vectors = embedder.embed_queries(list(queries))
     check_search_inputs(queries, vectors, config.top_k, index.manifest.embedding_dimension)
-    hits, direct, paths, reached = search_tables(index.graph, index.items, range(len(queries)), vectors, index.manifest.n_papers, config, strategy)
-    grouped = group_hits(hits).collect()
-    direct_rows = spark.createDataFrame([(r["paper_id"], float(r["best_score"])) for r in grouped], "paper_id bigint, best_score double")
-    graph_rows = reached.collect()
-    keep = direct_rows.select("paper_id").unionByName(spark.createDataFrame([(r["paper_id"],) for r in graph_rows], "paper_id bigint"))
-    found = {r["paper_id"]: [p.asDict(True) for p in r["paths"]] for r in _paths_of(paths, keep).collect()}
+    top = written(top_items(index.items, range(len(queries)), vectors, config.top_k), "top-items")
+    return index, search_tables(index.graph, index.items, top, len(index.manifest.paper_ids), config, strategy)
+
+
+def search_to_tables(spark: SparkSession, data_dir: str, queries: Sequence[str], embedder: Embedder, output: str, config: SearchConfig | None = None, strategy: TraversalStrategy | None = None) -> dict[str, str]:
+    """Writes candidates, hits and paths as parquet tables below output, for results of any size; their paths by name."""
+    _, found = find(spark, data_dir, queries, embedder, config or SearchConfig(), strategy)
+    meta = corpus.paper_ledger(spark, data_dir).select("paper_id", "title")
+    tables = {"candidates": candidates(found, meta), "hits": found.hits, "paths": found.paths}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{output}/{name}")
+    return {name: f"{output}/{name}" for name in tables}
+
+
+def search(spark: SparkSession, data_dir: str, queries: Sequence[str], embedder: Embedder, config: SearchConfig | None = None, strategy: TraversalStrategy | None = None) -> dict:
+    """The result of a search as one document: queries, config, direct_candidates, graph_candidates.
+
+    Direct candidates come by best score, then paper id, with every hit and every path that ends at them; graph
+    candidates by number of paths, then paper id. The document is gathered whole; search_to_tables writes the
+    same as tables. Only the candidates' own metadata files are read.
+    """
+    config = config or SearchConfig()
+    index, tables = find(spark, data_dir, queries, embedder, config, strategy)
+    grouped = group_hits(tables.hits).collect()
+    graph_rows = tables.reached.collect()
+    ids = [r["paper_id"] for r in (*grouped, *graph_rows)]
+    keep = spark.createDataFrame([(i,) for i in ids], "paper_id bigint")
+    found = {r["paper_id"]: [p.asDict(True) for p in r["paths"]] for r in _paths_of(tables.paths).collect()}
     edges = _edges_of(spark, index.graph, found)
     paths_by = {paper: [_path(p, paper, edges) for p in listed] for paper, listed in found.items()}
+    meta = {r["id"]: r for r in corpus.paper_meta(spark, data_dir, ids).select("id", "title", "s3_uri").collect()} if ids else {}
     titles = {r["paper_id"]: r["title"] for r in corpus.paper_ledger(spark, data_dir).join(keep, "paper_id", "left_semi").collect()}
-    uris = {r["id"]: r["s3_uri"] for r in corpus.paper_meta(spark, data_dir).select("id", "s3_uri").join(keep.withColumnRenamed("paper_id", "id"), "id", "left_semi").collect()}
     summaries = {r["paper_id"]: r["text"] for r in index.items.where("kind = 'summary'").select("paper_id", "text").join(keep, "paper_id", "left_semi").collect()}
 
     def candidate(paper: int, found: list) -> dict:
-        return {"paper_id": paper, "title": titles.get(paper), "s3_uri": (uris.get(paper) or "").strip() or None, "summary_ja": summaries.get(paper), "hits": found, "paths": paths_by.get(paper, [])}
+        uri = meta[paper]["s3_uri"] if paper in meta else None
+        return {"paper_id": paper, "title": titles.get(paper), "s3_uri": (uri or "").strip() or None, "summary_ja": summaries.get(paper), "hits": found, "paths": paths_by.get(paper, [])}
 
     ordered = sorted(grouped, key=lambda r: (-r["best_score"], r["paper_id"]))
     return {

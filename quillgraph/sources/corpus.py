@@ -10,7 +10,8 @@ the driver. Paths may be of any file system that Spark knows (s3a:// with its ja
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import page_file, paper_directory
 from . import schemas
+from .folders import written
 
 
 class SourceError(RuntimeError):
@@ -90,14 +92,14 @@ def paper_ledger(spark: SparkSession, data_dir: str) -> DataFrame:
     path = f"{data_dir}/papers/index.json"
     papers = read_json(spark, path, schemas.LEDGER)["papers"]
     ids = [p["id"] for p in papers]
-    if repeated := sorted({i for i in ids if ids.count(i) > 1}):
+    if repeated := sorted(i for i, n in Counter(ids).items() if n > 1):
         raise Invalid(path, f"repeats paper ids {repeated}")
     if bad := [p["id"] for p in papers if p["id"] < 1 or not p["title"]]:
         raise Invalid(path, f"papers {bad} need an id from 1 and a title")
     return spark.createDataFrame([(p["id"], p["title"], n) for n, p in enumerate(papers)], "paper_id bigint, title string, corpus_pos int")
 
 
-def _documents(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+def _documents(spark: SparkSession, pattern: str | list[str], schema: str) -> DataFrame:
     """(path, directory, value, problems) of many JSON documents, checked on the executors."""
     kind = _type(schema)
 
@@ -114,7 +116,7 @@ def _documents(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     try:
         raw = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     except PySparkException as e:
-        raise NotFound(pattern, "does not exist") from e
+        raise NotFound(pattern if isinstance(pattern, str) else pattern[0], "does not exist") from e
     checked = raw.mapInArrow(check, "path string, raw string, problems string")
     return checked.select("path", F.element_at(F.split("path", "/"), -2).alias("directory"), F.from_json("raw", schema).alias("value"), "problems")
 
@@ -126,9 +128,11 @@ def _sound(docs: DataFrame) -> DataFrame:
     return docs.select("path", "directory", "value.*")
 
 
-def paper_meta(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The metadata of all papers, without opening a page; an id must be that of its directory."""
-    docs = _sound(_documents(spark, f"{data_dir}/papers/*/paper.json", schemas.PAPER))
+def paper_meta(spark: SparkSession, data_dir: str, paper_ids: Sequence[int] | None = None) -> DataFrame:
+    """The metadata of all papers, or of the given ones alone, without opening a page; an id must be that of its
+    directory. Each document is read and checked once."""
+    files = f"{data_dir}/papers/*/paper.json" if paper_ids is None else [f"{data_dir}/papers/{i:04d}/paper.json" for i in sorted(set(paper_ids))]
+    docs = _sound(written(_documents(spark, files, schemas.PAPER), "paper-documents"))
     if bad := docs.where(paper_directory(F.col("id")) != F.col("directory")).select("path", "id").limit(5).collect():
         raise Invalid(bad[0][0], f"has the id {bad[0][1]}")
     return docs.withColumn("preprocess", F.struct("preprocess.tool", "preprocess.version", F.to_timestamp("preprocess.processed_at").alias("processed_at"))).drop("path", "directory")
@@ -163,7 +167,7 @@ def papers(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def extraction_rows(spark: SparkSession, data_dir: str, paper_ids: DataFrame | None = None) -> DataFrame:
     """One nested row per stored extraction; its paper_id must be that of its directory, its version ours."""
-    docs = _sound(_documents(spark, f"{data_dir}/papers/*/extraction.json", schemas.EXTRACTION))
+    docs = _sound(written(_documents(spark, f"{data_dir}/papers/*/extraction.json", schemas.EXTRACTION), "extraction-documents"))
     if bad := docs.where(f"schema_version <> {schemas.EXTRACTION_VERSION}").select("path", "schema_version").limit(1).collect():
         raise Incompatible(bad[0][0], f"has the version {bad[0][1]}")
     if bad := docs.where(paper_directory(F.col("paper_id")) != F.col("directory")).select("path", "paper_id").limit(1).collect():

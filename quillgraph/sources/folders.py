@@ -8,9 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster names no folder that all its machines see."""
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; below the warehouse where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "quillgraph-work")
+    """A fresh folder below spark.checkpoint.dir. Where that is unset, one below the warehouse, but only if the
+    whole session runs on one machine: a cluster must name its folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "quillgraph-work")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -22,3 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that no plan reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

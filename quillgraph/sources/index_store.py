@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import integrity
@@ -23,7 +23,7 @@ class Manifest:
     embedding_model: str
     embedding_dimension: int
     chunk_max_tokens: int
-    n_papers: int
+    paper_ids: list[int]
     schema_version: int = schemas.INDEX_VERSION
     domain_model_version: int = schemas.DOMAIN_VERSION
 
@@ -88,7 +88,9 @@ def read_index(spark: SparkSession, data_dir: str, check: bool = False) -> Index
 
 def check_index(index: Index) -> None:
     """Raises Invalid with a summary of all violations of the rules in and between the tables."""
-    found = integrity.check_index(index.graph, index.chunks, index.items, index.manifest.embedding_dimension, index.manifest.n_papers)
+    found = integrity.check_index(index.graph, index.chunks, index.items, index.manifest.embedding_dimension, len(index.manifest.paper_ids))
+    listed = index.graph.papers.sparkSession.createDataFrame([(i,) for i in index.manifest.paper_ids], "paper_id bigint")
+    found = integrity.all_of(found, integrity.dangling(listed, "manifest_paper", "paper_id", index.graph.papers, "paper_id", "the manifest's paper isn't declared"), integrity.dangling(index.graph.papers, "paper_listed", "paper_id", listed, "paper_id", "the manifest doesn't list the paper"))
     if rows := integrity.summary(found).orderBy("rule").collect():  # one row per broken rule
         raise Invalid("index", "; ".join(f"{r['rule']} ({r['message']}): {r['named']}" + (f" and {r['n'] - integrity.NAMED} more" if r["n"] > integrity.NAMED else "") for r in rows))
 
@@ -105,15 +107,19 @@ def _read_tables(spark: SparkSession, data_dir: str, manifest: Manifest) -> Inde
 
 
 def import_json_lines(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
-    """A JSONL artifact: blank lines are skipped, a malformed line and a repeated key are errors that name them."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
-    if bad := parsed.where("x._bad is not null or x is null").select("value").limit(1).collect():
-        raise Invalid(path, f"has a malformed line: {bad[0][0][:80]}")
-    rows = parsed.select("x.*").drop("_bad")
-    if key and (twice := rows.groupBy(key).count().where("count > 1").limit(1).collect()):
-        raise Invalid(path, f"repeats {key} {twice[0][0]!r}")
-    return rows
+    """(row_idx, line, fields) of a JSONL artifact: blank lines are skipped; row_idx counts the others from 0, line
+    all from 1. A malformed line and a repeated key are errors that name their line. One file is one artifact: it
+    is read whole, as only its order numbers the rows."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "value")).where(F.trim("value") != "")
+    lines = whole.select((F.col("line") + 1).alias("line"), "value")
+    parsed = lines.select("line", "value", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    if bad := parsed.where("x._bad is not null or x is null").orderBy("line").select("line", "value").limit(1).collect():
+        raise Invalid(path, f"has a malformed line {bad[0][0]}: {bad[0][1][:80]}")
+    rows = parsed.select("line", "x.*").drop("_bad")
+    if key and (twice := rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("line")).where("n > 1").orderBy("line").limit(1).collect()):
+        raise Invalid(path, f"repeats {key} {twice[0][0]!r} in line {twice[0]['line']}")
+    order = Window.orderBy("line")  # one file
+    return rows.withColumn("row_idx", F.row_number().over(order) - 1).select("row_idx", "line", *[c for c in rows.columns if c != "line"])
 
 
 def export_json_lines(df: DataFrame, path: str) -> None:

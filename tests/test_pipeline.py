@@ -117,6 +117,42 @@ def test_search(spark, data):
     assert len(search(spark, data, ["要約一"], HashEmbedder(), SearchConfig(top_k=1, generic_concept_threshold=0.7, max_graph_candidates=1))["graph_candidates"]) == 1
 
 
+def test_paths_are_made_for_candidates_only(spark, data, monkeypatch):
+    from quillgraph.operators.traversal import NeighborhoodTraversal, SearchConfig
+    from quillgraph.plans import search_papers
+
+    made = []
+    plain = NeighborhoodTraversal.traverse
+    monkeypatch.setattr(NeighborhoodTraversal, "traverse", lambda self, *a: made.append(a) or plain(self, *a))
+    config = SearchConfig(top_k=1, generic_concept_threshold=0.7, max_graph_candidates=1)
+    _, found = search_papers.find(spark, data, ["要約一"], HashEmbedder(), config)
+    # one walk, and it knows its ends: papers were ranked by counts
+    assert len(made) == 1 and len(made[0]) == 5
+    assert {r[0] for r in found.paths.select("target_paper_id").distinct().collect()} == {r[0] for r in found.reached.select("paper_id").collect()} == {2}
+    plan = found.paths._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan.split("target_paper_id")[-1] or "reached-papers" in plan
+
+    class Own:
+        def traverse(self, graph, sources, n_papers, config):
+            return plain(NeighborhoodTraversal(), graph, sources, n_papers, config)
+
+    _, other = search_papers.find(spark, data, ["要約一"], HashEmbedder(), config, Own())
+    names = found.paths.columns
+    assert {tuple(map(str, r)) for r in other.paths.select(names).collect()} == {tuple(map(str, r)) for r in found.paths.collect()}
+
+
+def test_the_manifest_lists_the_papers(spark, data, tmp_path):
+    import shutil
+
+    assert index_store.read_manifest(spark, data).paper_ids == [1, 2, 3]
+    shutil.copytree(f"{data}/index", tmp_path / "index")
+    (tmp_path / "index/.manifest.json.crc").unlink(missing_ok=True)
+    kept = json.loads((tmp_path / "index/manifest.json").read_text())
+    (tmp_path / "index/manifest.json").write_text(json.dumps(kept | {"paper_ids": [1, 2, 4]}))
+    with pytest.raises(corpus.Invalid, match="manifest_paper.*4.*paper_listed.*3"):
+        index_store.read_index(spark, str(tmp_path), check=True)
+
+
 def test_queries_and_models_are_checked(spark, data):
     for bad in ([], [" "], ["a", "a"]):
         with pytest.raises(ValueError):
@@ -133,8 +169,12 @@ def test_commands(spark, data, capsys):
     assert cli.run(spark, cli.parser().parse_args(["papers", "--data-dir", data]))[1]["papers"][0] == {"id": 1, "title": "Walking graphs"}
     code, out = cli.run(spark, cli.parser().parse_args(["search", "x", "--data-dir", data + "/none", "--embedder", "fake"]))
     assert code == cli.ERROR and out["status"] == "error"
-    with pytest.raises(SystemExit):
-        cli.parser().parse_args(["search", "x", "--top-k", "0"])
+    code, out = cli.run(spark, cli.parser().parse_args(["search", "要約二", "--data-dir", data, "--embedder", "fake", "--top-k", "2", "--output", data + "/found"]))
+    assert code == cli.OK and spark.read.parquet(out["tables"]["candidates"]).where("kind = 'direct'").count() == spark.read.parquet(out["tables"]["hits"]).select("paper_id").distinct().count()
+    for args in (["search", "x", "--top-k", "0"], ["--version"], ["normalize", "--version"]):
+        with pytest.raises(SystemExit):
+            cli.parser().parse_args(args)
+    assert cli._agent(cli.parser().parse_args(["extract", "3", "--agent", "a b", "--model", "m"])).command == ["a", "b", "--model", "m"]
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["search", "x", "--generic-concept-threshold", "2"])
 
@@ -211,12 +251,13 @@ def test_command_agent():
 
 def test_json_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "x", "n": 1}\n\n{"id": "y", "n": 2}\n')
-    assert index_store.import_json_lines(spark, str(tmp_path / "a.jsonl"), "id string, n int", "id").count() == 2
+    rows = [(r["row_idx"], r["line"], r["id"], r["n"]) for r in index_store.import_json_lines(spark, str(tmp_path / "a.jsonl"), "id string, n int", "id").orderBy("row_idx").collect()]
+    assert rows == [(0, 1, "x", 1), (1, 3, "y", 2)]
     (tmp_path / "b.jsonl").write_text('{"id": "x"}\n{"id": "x"}\n')
-    with pytest.raises(corpus.Invalid, match="repeats"):
+    with pytest.raises(corpus.Invalid, match="repeats id 'x' in line 2"):
         index_store.import_json_lines(spark, str(tmp_path / "b.jsonl"), "id string", "id")
     (tmp_path / "c.jsonl").write_text('{"id": ')
-    with pytest.raises(corpus.Invalid, match="malformed"):
+    with pytest.raises(corpus.Invalid, match="malformed line 1"):
         index_store.import_json_lines(spark, str(tmp_path / "c.jsonl"), "id string")
     import numpy as np
 
