@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.embedders import HashEmbedder, embedded
 from ..functions.vocabulary import FAMILIES, PAPER_RELATIONS, traversable, vocabulary_table
 from ..operators import chunking, evidence, graph, integrity, items, merging, traversal, vectors
-from ..sources.folders import written
-from . import oracles
+from ..sources import corpus, index_store
+from ..sources.folders import shared_folder, written
+from . import oracles, search_papers
 
 PAGE_BUDGET = 64
+#: 2025-02-01, in the middle of the test tables' extraction run, as microseconds.
+EXTRACTED_BY = 1_738_368_000_000_000
 _EVIDENCE = "array<struct<page:int,quote:string,chunk_id:string>>"
 
 
@@ -107,19 +111,22 @@ def scan_pages(spark, d):
 
 
 def page_gaps(spark, d):
-    expected = load(spark, d, "papers").where("page_count >= 1").select(F.col("id").alias("paper_id"), F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page"))
-    found = load(spark, d, "pages").select("paper_id", "page").distinct()
-    lost = expected.join(found, ["paper_id", "page"], "left_anti").withColumn("problem", F.lit("missing"))
-    return lost.unionByName(found.join(expected, ["paper_id", "page"], "left_anti").withColumn("problem", F.lit("unexpected")))
+    """Page files of every paper that are missing or unexpected."""
+    files = load(spark, d, "pages").select("paper_id", X.page_file(F.col("page")).alias("name"))
+    return corpus.page_gaps(load(spark, d, "papers").select("id", "page_count"), files).select("paper_id", "name", "problem")
 
 
 def papers_without_extraction(spark, d):
-    return load(spark, d, "papers").select(F.col("id").alias("paper_id")).join(load(spark, d, "extracted_concepts").select("paper_id"), "paper_id", "left_anti")
+    """Papers of which nothing had been extracted by a day in the run; the whole run covers them all."""
+    by = load(spark, d, "extracted_concepts").where(F.col("extracted_at") < F.timestamp_micros(F.lit(EXTRACTED_BY))).select("paper_id")
+    return load(spark, d, "papers").select(F.col("id").alias("paper_id")).join(by, "paper_id", "left_anti")
 
 
 def incompatible_indexes(spark, d):
+    """Indexes of another version than ours, and than one that is still to come."""
     m = load(spark, d, "index_manifests").select("index_id", "schema_version", "domain_model_version").distinct()
-    return m.where("not (schema_version <=> 1 and domain_model_version <=> 1)")
+    coming = m.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("expected"))
+    return coming.where("not (schema_version <=> 1 and domain_model_version <=> expected)")
 
 
 # text
@@ -165,13 +172,18 @@ def chunk_pages(spark, d):
     return _chunks(spark, d).select("id", "paper_id", "idx", "page_start", "page_end", "text")
 
 
+def _moved(quotes: DataFrame) -> DataFrame:
+    """Quotes as given, and each one page on: cases that a check must find."""
+    return quotes.unionByName(quotes.withColumn("page", F.col("page") + 1))
+
+
 def _quotes(spark, d):
     e = _raw_edges(spark, d).where("concept_id <> ''")
     return e.select("paper_id", F.explode("evidence").alias("e")).select("paper_id", "e.page", "e.quote").distinct()
 
 
 def evidence_issues(spark, d):
-    q = _quotes(spark, d).withColumn("edge_pos", F.lit(0)).withColumn("evidence_pos", F.lit(0))
+    q = _moved(_quotes(spark, d)).withColumn("edge_pos", F.lit(0)).withColumn("evidence_pos", F.lit(0))
     counts = load(spark, d, "papers").select(F.col("id").alias("paper_id"), "page_count")
     return evidence.check_evidence(q, _pages(spark, d), counts).groupBy("paper_id", "message").agg(F.count(F.lit(1)).alias("n"))
 
@@ -181,7 +193,18 @@ def evidence_resolve(spark, d):
 
 
 def evidence_unresolved(spark, d):
-    return evidence.resolve_evidence(_quotes(spark, d), _chunks(spark, d)).where("chunk_id is null").select("paper_id", "page", "quote")
+    return evidence.resolve_evidence(_moved(_quotes(spark, d)), _chunks(spark, d)).where("chunk_id is null").select("paper_id", "page", "quote")
+
+
+def extraction_issues(spark, d):
+    """The checks of whole extractions, with paths: each paper's edges in order, their quotes one page on."""
+    e = _raw_edges(spark, d).select("paper_id", "concept_id", "relation", F.explode("evidence").alias("e")).where("e.page is not null and e.quote is not null")
+    once = e.groupBy("paper_id", "concept_id", "relation").agg(F.array_sort(F.collect_set(F.struct((F.col("e.page") + 1).alias("page"), "e.quote"))).alias("evidence"))
+    order = Window.partitionBy("paper_id").orderBy("concept_id", "relation")
+    edges = once.withColumn("edge_pos", F.row_number().over(order) - 1)
+    papers = load(spark, d, "papers").select(F.col("id").alias("paper_id"), F.col("id").alias("asked_id"))
+    counts = load(spark, d, "papers").select(F.col("id").alias("paper_id"), "page_count")
+    return evidence.check_extractions({"paper_concepts": edges, "concept_relations": edges.limit(0), "papers": papers}, _pages(spark, d), counts)
 
 
 # vocabulary of the corpus
@@ -202,8 +225,9 @@ def eligible_concepts(spark, d):
 
 
 def unknown_refs(spark, d):
+    """References of the vocabulary as given, and each one paper on: cases that a check must find."""
     refs = graph.slug_bridge(load(spark, d, "normalized_concepts")).withColumnRenamed("concept_id", "path")
-    return merging.unknown_refs(refs, _concepts(spark, d))
+    return merging.unknown_refs(refs.unionByName(refs.withColumn("paper_id", F.col("paper_id") + 1)), _concepts(spark, d))
 
 
 def uncovered_concepts(spark, d):
@@ -241,9 +265,83 @@ def collision_components(spark, d):
     return merging.collision_components(_pair_claims(spark, d))
 
 
+def group_members(spark, d):
+    """The concepts of each candidate pair, taken as a group."""
+    groups = _pair_groups(spark, d).groupBy("group_id").agg(F.array_sort(F.collect_set(F.struct("paper_id", "local_id"))).alias("refs"))
+    return merging.group_members(groups, _concepts(spark, d)).select("group_id", "pos", "paper_id", "local_id", "name")
+
+
+def _pair_groups(spark, d):
+    """(group_id, paper_id, local_id): each candidate pair is a group of its two concepts."""
+    p = load(spark, d, "candidate_pairs").where("left_ref is not null and right_ref is not null")
+    name = lambda r: F.concat_ws(":", F.col(f"{r}.paper_id").cast("string"), f"{r}.local_id")
+    pair = F.concat_ws("~", F.least(name("left_ref"), name("right_ref")), F.greatest(name("left_ref"), name("right_ref")))
+    return p.select(pair.alias("group_id"), F.explode(F.array("left_ref", "right_ref")).alias("r")).select("group_id", "r.paper_id", "r.local_id").distinct()
+
+
+def grouping_issues(spark, d):
+    """Pairs that share a concept can't both be groups."""
+    members = _pair_groups(spark, d)
+    sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    return integrity.check_grouping(members, sizes).select("rule", "key")
+
+
+def _pair_members(spark, d):
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy("paper_id", "local_id")) - 1
+    return _pair_groups(spark, d).withColumn("pos", place)
+
+
+def combined_groups(spark, d):
+    """Pairs that share concepts, joined end to end; the others as they are."""
+    c = merging.combine_groups(_pair_members(spark, d), merging.collision_components(_pair_claims(spark, d)))
+    return c.select("group_id", F.array_join(F.transform("refs", lambda r: F.concat_ws(":", r["paper_id"].cast("string"), r["local_id"])), ",").alias("refs"), "answered")
+
+
+def collision_issues(spark, d):
+    return merging.collision_issues(_pair_claims(spark, d), _pair_members(spark, d))
+
+
+def merge_issues(spark, d):
+    """Each merged concept held against the first two concepts of its papers, which stand for its group."""
+    merged = load(spark, d, "normalized_concepts").select(F.col("id").alias("group_id"), F.lit(0).alias("pos"), "type", "merged_from")
+    papers = graph.slug_bridge(load(spark, d, "normalized_concepts")).select(F.col("concept_id").alias("group_id"), "paper_id").distinct()
+    world = papers.join(_concepts(spark, d).where("local_id in ('c1', 'c2')"), "paper_id").select("group_id", "paper_id", "local_id", "type").where("type is not null")
+    return merging.check_group_merge(merged, world)
+
+
+def normalization_issues(spark, d):
+    order = Window.orderBy("id")  # the reference list has 600 rows, always
+    named = load(spark, d, "normalized_concepts").withColumn("pos", F.row_number().over(order) - 1)
+    return merging.check_normalization(named, _concepts(spark, d))
+
+
+def extraction_rules(spark, d):
+    """The rules inside extractions, with candidate pairs as relations and every concept as an edge without quotes."""
+    concepts = load(spark, d, "extracted_concepts")
+    none = F.array().cast(_EVIDENCE)
+    edges = concepts.select("paper_id", "local_id", F.lit("mentions").alias("relation"), none.alias("evidence"))
+    pairs = load(spark, d, "candidate_pairs").where("left_ref is not null and right_ref is not null")
+    relations = pairs.select(F.col("left_ref.paper_id").alias("paper_id"), F.col("left_ref.local_id").alias("source_local"), F.col("right_ref.local_id").alias("target_local"), F.lit("related_to").alias("relation"), none.alias("evidence"))
+    tables = {"papers": load(spark, d, "papers").select(F.col("id").alias("paper_id")), "concepts": concepts, "paper_concepts": edges, "concept_relations": relations}
+    return integrity.check_extraction_tables(tables).groupBy("rule", "message").agg(F.count(F.lit(1)).alias("n")).select("rule", "n")
+
+
+def _local(spark, d):
+    """(paper_id, local_id, concept_id): an edge's concept under each spelling that the paper has for it."""
+    return load(spark, d, "paper_concepts").where("concept_id is not null").select("paper_id", F.col("concept_id").alias("local_id"), X.fold_id(F.col("concept_id")).alias("concept_id")).distinct()
+
+
+def _local_relations(spark, d):
+    """What papers state, in their own spellings, with the quotes by which they hold either end."""
+    first = _local(spark, d).groupBy("paper_id", "concept_id").agg(F.min("local_id").alias("local_id"))
+    end = lambda side: first.select("paper_id", F.col("concept_id").alias(f"{side}_id"), F.col("local_id").alias(f"{side}_local"))
+    stated = _stated_edges(spark, d).join(end("source"), ["paper_id", "source_id"]).join(end("target"), ["paper_id", "target_id"])
+    return stated.select("paper_id", "source_local", "target_local", "relation", F.transform("evidence", lambda e: F.struct(e["page"].alias("page"), e["quote"].alias("quote"))).alias("evidence"), F.lit(0).cast("bigint").alias("edge_pos"))
+
+
 def stated_relations(spark, d):
-    s = _stated(spark, d).groupBy("source_id", "target_id", "relation").agg(F.array_sort(F.collect_set("paper_id")).alias("p"))
-    return s.select("source_id", "target_id", "relation", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("paper_ids"))
+    s = graph.stated_relations(_local_relations(spark, d), _local(spark, d))
+    return s.select("source_id", "target_id", "relation", F.array_join(F.transform("paper_ids", lambda x: x.cast("string")), ",").alias("paper_ids"))
 
 
 def gk_edges_unstated(spark, d):
@@ -273,6 +371,54 @@ def graph_edges(spark, d):
     return graph.graph_edges(_graph(spark, d)).select("source", "target", "key")
 
 
+def _built(spark, d):
+    """The graph as a build makes it: local ids by way of a bridge, and quotes with their chunks."""
+    local = load(spark, d, "paper_concepts").where("concept_id is not null")
+    edges = local.select("paper_id", F.col("concept_id").alias("local_id"), "relation", F.transform("evidence", lambda e: F.struct(e["page"].alias("page"), e["quote"].alias("quote"))).alias("evidence"), F.unix_micros("recorded_at").alias("edge_pos"))
+    papers = load(spark, d, "papers").select(F.col("id").alias("paper_id"), F.lit(0).alias("corpus_pos"))
+    quotes = evidence.exploded_evidence(edges, "paper_id")
+    resolved = written(evidence.resolve_evidence(quotes, _chunks(spark, d)), "resolved-evidence")
+    return graph.build_graph(papers, _nodes(spark, d), edges, _local_relations(spark, d), _general(spark, d), resolved, _local(spark, d))
+
+
+def _told(c: str):
+    """Quotes as text, in a defined order."""
+    return F.array_join(F.array_sort(F.transform(c, lambda e: F.concat_ws("|", e["page"].cast("string"), e["quote"], e["chunk_id"]))), "\n")
+
+
+def built_paper_edges(spark, d):
+    return _built(spark, d).paper_concepts.select("paper_id", "concept_id", "relation", _told("evidence").alias("quotes"))
+
+
+def built_concept_edges(spark, d):
+    return _built(spark, d).concept_relations.select("source_id", "target_id", "relation", "origin", "paper_id", "rationale", _told("evidence").alias("quotes"))
+
+
+def stored_index(spark, d):
+    """An index written, checked by all its rules and read again: rows and a sum for each of its tables.
+
+    Stated relations without a quote break a rule and are left out of it; graph_violations names them."""
+    g = _built(spark, d)
+    sound = g.concept_relations.where("origin <> 'paper' or size(evidence) > 0")
+    chunks = written(_chunks(spark, d), "chunks")
+    ids = [r[0] for r in g.papers.select("paper_id").orderBy("paper_id").collect()]  # the manifest lists them, in one file
+    place = load(spark, d, "concepts").withColumn("pos", F.xxhash64("id"))
+    summaries = load(spark, d, "papers").select(F.col("id").alias("paper_id"), F.coalesce("title", F.lit("")).alias("text"), F.col("id").alias("corpus_pos"))
+    embedder = HashEmbedder(16)
+    found = items.numbered(items.embedding_items(chunks.withColumn("corpus_pos", F.col("paper_id")), summaries, place)).withColumn("vector", embedded(F.col("text"), embedder))
+    tables = {"chunks": chunks, "items": found.select("row_idx", "kind", "ref", "paper_id", "text", "vector"), "papers": g.papers, "concepts": g.concepts, "paper_concepts": g.paper_concepts, "concept_relations": sound}
+    folder = shared_folder(spark, "index")
+    index_store.write_index(spark, folder, tables, index_store.Manifest(embedder.model_name, 16, PAGE_BUDGET, ids))
+    index = index_store.read_index(spark, folder)
+    one = lambda df, name, value: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias("total")).select(F.lit(name).alias("what"), "n", "total")
+    g = index.graph
+    manifest = spark.createDataFrame([("manifest", len(index.manifest.paper_ids), index.manifest.chunk_max_tokens)], "what string, n bigint, total bigint")
+    return integrity.all_of(
+        one(index.chunks, "chunks", F.length("text")), one(index.items, "items", F.col("row_idx")), one(index.items, "vectors", F.size("vector")), one(g.papers, "papers", F.col("paper_id")),
+        one(g.concepts, "concepts", F.col("paper_count")), one(g.paper_concepts, "paper_concepts", F.size("evidence")), one(g.concept_relations, "concept_relations", F.size("evidence")), manifest,
+    )
+
+
 def graph_violations(spark, d):
     n = load(spark, d, "papers").count()
     return integrity.summary(integrity.check_graph(_graph(spark, d), n)).select("rule", "n", "named")
@@ -324,8 +470,7 @@ def _items(spark, d):
 
 
 def _top(spark, d, k):
-    v = load(spark, d, "concept_vectors").select("row_idx", "vector")
-    return vectors.top_items(v, *vectors.stated_queries(v), k)
+    return vectors.top_of_stated(load(spark, d, "concept_vectors").select("row_idx", "vector"), k)
 
 
 def vector_topk(spark, d):
@@ -333,13 +478,14 @@ def vector_topk(spark, d):
 
 
 def vector_paper_hits(spark, d):
+    """Each paper's best score and its hits, the best first."""
     hits = vectors.paper_hits(_top(spark, d, 10), _items(spark, d), vectors.concepts_to_papers(_edges(spark, d)))
-    return hits.groupBy("paper_id").agg(F.round(F.max("score"), 6).alias("best_score"), F.count(F.lit(1)).alias("n_hits"))
+    told = F.array_join(F.transform("hits", lambda h: F.concat_ws("|", h["kind"], h["ref"], h["query_id"].cast("string"))), ",")
+    return vectors.group_hits(hits).select("paper_id", F.round("best_score", 6).alias("best_score"), F.size("hits").cast("bigint").alias("n_hits"), told.alias("hits"))
 
 
 def candidate_pairs(spark, d):
-    v = load(spark, d, "concept_vectors").select("row_idx", "vector")
-    return vectors.candidate_pairs(v, *vectors.stated_queries(v)).withColumn("score", F.round("score", 6))
+    return vectors.candidate_pairs(_top(spark, d, 6)).withColumn("score", F.round("score", 6))
 
 
 # traversal
@@ -364,6 +510,19 @@ def traverse_2hop(spark, d):
     return p.groupBy("source_paper_id", "target_paper_id", "n_hops").agg(F.count(F.lit(1)).alias("n_paths"))
 
 
+def walked_hops(spark, d):
+    """How often the walks from the listed papers take each edge ahead or back."""
+    p = traversal.NeighborhoodTraversal().traverse(_graph(spark, d), _sources(spark, d), load(spark, d, "papers").count(), _config(spark, d, 1))
+    hops = p.where("n_hops > 0").select(F.explode(F.arrays_zip("edges", "forward")).alias("h"))
+    return hops.groupBy(F.col("h.edges").alias("edge"), F.col("h.forward").alias("ahead")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked_by_paths(spark, d):
+    """reached_papers the long way, over the paths themselves."""
+    p = traversal.NeighborhoodTraversal().traverse(_graph(spark, d), _sources(spark, d), load(spark, d, "papers").count(), _config(spark, d, 1))
+    return traversal.rank_reached(p)
+
+
 def reached_papers(spark, d):
     return traversal.reached_papers(_graph(spark, d), _sources(spark, d), load(spark, d, "papers").count(), _config(spark, d))
 
@@ -373,17 +532,27 @@ def graph_candidates(spark, d):
     return traversal.graph_candidates(traversal.reached_papers(_graph(spark, d), s, load(spark, d, "papers").count(), config), s, config.max_graph_candidates)
 
 
+def _found(spark, d):
+    config = _config(spark, d)
+    g = _graph(spark, d)
+    # the walk and the counts read the folded edges often
+    g = graph.Graph(g.papers, written(g.concepts, "nodes"), written(g.paper_concepts, "edges"), written(g.concept_relations, "relations"))
+    return search_papers.search_tables(g, _items(spark, d), _top(spark, d, config.top_k), load(spark, d, "papers").count(), config)
+
+
 def search_flagship(spark, d):
-    """The queries' direct papers with their hits, and the graph's candidates with their paths."""
-    config, g = _config(spark, d), _graph(spark, d)
-    hits = vectors.paper_hits(_top(spark, d, config.top_k), _items(spark, d), vectors.concepts_to_papers(g.paper_concepts))
-    direct = written(hits.groupBy("paper_id").agg(F.round(F.max("score"), 6).alias("best_score"), F.count(F.lit(1)).alias("n_hits")), "direct-papers")
-    counted = written(traversal.reached_papers(g, direct, load(spark, d, "papers").count(), config), "reached-papers")
-    around = traversal.graph_candidates(counted, direct, config.max_graph_candidates)
-    title = load(spark, d, "papers").select(F.col("id").alias("paper_id"), "title")
-    found = direct.join(counted, "paper_id", "left").select(F.lit("direct").alias("kind"), "paper_id", "best_score", "n_hits", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
-    beside = around.select(F.lit("graph").alias("kind"), "paper_id", F.lit(None).cast("double").alias("best_score"), F.lit(0).cast("bigint").alias("n_hits"), "n_paths")
-    return found.unionByName(beside).join(title, "paper_id", "left")
+    """A search with the table's own queries: direct papers with their hits, and the graph's candidates with their paths."""
+    found = _found(spark, d)
+    meta = load(spark, d, "papers").select(F.col("id").alias("paper_id"), "title")
+    listed = search_papers.candidates(found, meta).join(found.direct.select("paper_id", "n_hits"), "paper_id", "left")
+    return listed.select("kind", "paper_id", F.round("best_score", 6).alias("best_score"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("n_paths", F.lit(0)).alias("n_paths"), F.coalesce("place", F.lit(0)).alias("place"), "title")
+
+
+def search_paths(spark, d):
+    """The paths of the graph's candidates."""
+    found = _found(spark, d)
+    ends = found.reached.select(F.col("paper_id").alias("target_paper_id"))
+    return found.paths.join(ends, "target_paper_id", "left_semi").select("source_paper_id", "source_relation", F.array_join("visited", ">").alias("visited"), F.array_join("edges", ";").alias("edges"), "target_paper_id", "target_relation")
 
 
 _QUERIES = (
@@ -391,7 +560,8 @@ _QUERIES = (
     chunk_pages, evidence_issues, evidence_resolve, evidence_unresolved, slug_lookup, paper_count_df, eligible_concepts, unknown_refs, uncovered_concepts, solo_concepts, type_issues,
     slug_collisions, collision_components, stated_relations, gk_edges_unstated, relation_conflicts, paper_edges_collapsed, concepts_to_papers, graph_edges, graph_violations,
     extraction_violations, index_consistency, build_counts, embedding_items, vector_topk, vector_paper_hits, candidate_pairs, traverse_0hop, traverse_1hop, traverse_2hop,
-    reached_papers, graph_candidates, search_flagship,
+    reached_papers, graph_candidates, search_flagship, extraction_issues, group_members, grouping_issues, combined_groups, collision_issues, merge_issues, normalization_issues,
+    extraction_rules, built_paper_edges, built_concept_edges, stored_index, walked_hops, ranked_by_paths, search_paths,
 )
 
 
