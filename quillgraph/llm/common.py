@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder as shared_folder
+
 #: The characters that count as white space (Unicode, as str.isspace has them).
 WHITE_SPACE = r"\x09-\x0d\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: The characters that don't, as ranges: a negated class of this many ranges is matched ten times slower.
@@ -25,12 +25,6 @@ def without_marker_lines(text: Column) -> Column:
     return F.regexp_replace(text, MARKER_LINE, "")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; below the warehouse where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "quillgraph-work")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once, where plain columns would be repeated by the optimizer."""
     return F.transform(F.array(value), body)[0]

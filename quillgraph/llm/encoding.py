@@ -37,10 +37,16 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @lru_cache(2)
 def _vocabulary(path: str):
+    with open(path, "rb") as f:
+        return _built(f.read())
+
+
+@lru_cache(2)
+def _built(raw: bytes):
+    """The encoder, the forced cuts, and an empty cache of fragments; once per worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), forced_cuts(ranks), {}
 
 
@@ -75,9 +81,13 @@ def cut_points(text: str, never: np.ndarray) -> list[int]:
 
 def encode_text(text: str | None, path: str) -> list[int]:
     """The ids of one text; an empty or null text has none."""
+    return _encoded(text, _vocabulary(path)) if text else []
+
+
+def _encoded(text: str | None, vocabulary) -> list[int]:
     if not text:
         return []
-    encoding, never, cache = _vocabulary(path)
+    encoding, never, cache = vocabulary
     ids: list[int] = []
     last = 0
     for end in [*cut_points(text, never), len(text)]:
@@ -100,13 +110,15 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     Text that looks like a special token is plain text. Empty and null texts give an empty list, blank texts
     are encoded as they are. No shuffle; other columns aren't read.
     """
-    where = path or default_path()
+    with open(path or default_path(), "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())  # under a megabyte: the workers need no file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _built(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                lists = [np.asarray(encode_text(t, where), dtype=np.int32) for t in part.column(1).to_pylist()]
+                lists = [np.asarray(_encoded(t, vocabulary), dtype=np.int32) for t in part.column(1).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 values = np.concatenate(lists) if lists else np.empty(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], [key, "ids"])

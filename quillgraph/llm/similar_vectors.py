@@ -4,8 +4,9 @@ Every vector is stored in the cells of its nearest pivots (a bounded sample of t
 vectors share a cell. In a cell, each of PROJECTIONS random projections is one sorted array. Virtual rehashing
 widens a window centred on each vector, level by level, in all arrays; two vectors that fall into each other's
 windows in at least COLLISIONS arrays are verified by their exact cosine. A vector whose k best are verified
-within a level's radius takes no part in the next. Cells are split into tiles by their true counts, so that no
-task holds more than two tiles; no vector, partner or candidate is dropped.
+within a level's radius takes no part in the next. Cells are split into tiles by their loads, as the sample has
+them, so that no task holds more than about two tiles; no vector, partner or candidate is dropped. Vectors of
+different lengths are searched apart.
 
 Exact copies are found by a hash of the vector. They are compared once as one vector and joined again at the
 end, the smallest row_idx first, so that a group of copies never makes more than k pairs per member.
@@ -13,7 +14,9 @@ end, the smallest row_idx first, so that a group of copies never makes more than
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,10 @@ PROJECTIONS, COLLISIONS, SEED = 32, 16, 20_240_229
 WIDTH, LEVELS = 1.0, (0.6, 1.0)
 #: Vectors per pivot; most pivots (4 MB at 64 dimensions); most vectors in a tile.
 PER_PIVOT, MOST_PIVOTS, TILE = 120, 16_384, 3_000
+#: Vectors in the sample that gives the pivots and the cells' loads: LEAST_SAMPLE, or twice the pivots.
+LEAST_SAMPLE = 20_000
 #: A vector is stored with each pivot within MARGIN of its best one: at least 2, at most MOST_CELLS.
-MARGIN, MOST_CELLS = 0.05, 6
+MARGIN, MOST_CELLS = 0.07, 5
 HEADS_SALT = 16
 
 _FOUND = "q1 bigint, q2 bigint, n1 bigint, n2 bigint, score double"
@@ -150,45 +155,54 @@ def similar_vectors(vectors: DataFrame, k: int = 5, score_at_least: float = 0.85
     """(left_row_idx, right_row_idx, score), the smaller first, each pair once: the cosine is at least
     score_at_least and one of the two is among the k most similar of the other (ties: smaller key first).
 
-    Null, all-zero and non-finite vectors, and vectors of another size than most, are in no pair; an empty
+    Null, all-zero and non-finite vectors are in no pair, and vectors of different lengths make none; an empty
     table gives none. Copies of a vector have the score 1. Recall against brute force is measured in the
     tests and in the README (over 0.98); scores are exact.
     """
     spark = vectors.sparkSession
-    schema = "left_row_idx bigint, right_row_idx bigint, score double"
     v = F.col(vector).cast("array<float>")
     rows = vectors.select(F.col(key).cast("bigint").alias("row_idx"), v.alias("vector")).where("row_idx is not null and vector is not null")
-    n = rows.count()
-    # a bounded sample: about n / PER_PIVOT vectors, MOST_PIVOTS at most, by a hash of the key
-    wanted = min(MOST_PIVOTS, max(1, n // PER_PIVOT))
-    sample = rows.where(F.pmod(F.xxhash64("row_idx", F.lit(SEED)), F.lit(max(n, 1))) < int(wanted * 1.25) + 64).select("vector").limit(2 * MOST_PIVOTS).toArrow()
-    values = [np.asarray(x, dtype=np.float64) for x in sample.column(0).to_pylist() if x and None not in x]
-    sizes = np.array([len(x) for x in values], dtype=int)
-    if not len(sizes):
-        return spark.createDataFrame([], schema)
-    size = int(np.bincount(sizes).argmax())
-    x = np.stack([u for u in values if len(u) == size])
-    x = x[np.isfinite(x).all(axis=1) & (np.abs(x).sum(axis=1) > 0)]
-    if not len(x):
-        return spark.createDataFrame([], schema)
-    x = np.unique((x / np.sqrt((x * x).sum(axis=1))[:, None]).astype(np.float32), axis=0)
-    pivots = x[np.random.default_rng(SEED).permutation(len(x))[:wanted]]
+
+    def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            column = pa.concat_arrays([batch.column(0)])
+            lengths = np.diff(column.offsets.to_numpy()) if len(column) else np.empty(0, int)
+            for size in np.unique(lengths):
+                found[int(size)] += len(_units(column, int(size))[0])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["size", "n"])
+
+    counted = rows.select("vector").mapInArrow(usable, "size int, n bigint").groupBy("size").agg(F.sum("n").alias("n")).where("n > 1").collect()  # a row per length of vectors
+    parts = [_of_size(rows.where(F.size("vector") == r["size"]), r["size"], r["n"], k, score_at_least) for r in sorted(counted)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "left_row_idx bigint, right_row_idx bigint, score double")
+
+
+def _sampled(rows: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pivots, tiles of each pivot's cell), from a bounded sample by a hash of the key."""
+    pivots = min(MOST_PIVOTS, max(1, n // PER_PIVOT))
+    wanted = max(LEAST_SAMPLE, 2 * pivots)
+    total = rows.count() if n <= wanted else n  # unusable vectors are few, or the table is small
+    sample = rows.where(F.pmod(F.xxhash64("row_idx", F.lit(SEED)), F.lit(max(total, 1))) < wanted).select("vector").limit(2 * wanted).toArrow()
+    x = _units(pa.concat_arrays(sample.column(0).chunks) if sample.num_rows else pa.array([], pa.list_(pa.float32())), size)[1]
+    drawn = len(x)
+    x = np.unique(x, axis=0)[np.random.default_rng(SEED).permutation(len(np.unique(x, axis=0)))]
+    held = np.zeros(min(pivots, len(x)), dtype=np.int64)
+    for lo in range(0, len(x), 1024):
+        held += np.bincount(_cells(x[lo : lo + 1024], x[:pivots])[1], minlength=len(held))
+    return x[:pivots], -(-(held * n) // (max(1, drawn) * TILE))
+
+
+def _of_size(rows: DataFrame, size: int, n: int, k: int, score_at_least: float) -> DataFrame:
+    """The pairs among the vectors of one length, n of which are usable."""
+    spark = rows.sparkSession
+    pivots, tiles = _sampled(rows, size, n)
+    if not len(pivots):  # a sample without any usable vector: the first one there is
+        first = rows.where(_usable(size)).select("vector").limit(1).toArrow()
+        pivots, tiles = _units(pa.concat_arrays(first.column(0).chunks), size)[1], np.array([-(-n // TILE)])
     shared = spark.sparkContext.broadcast(pivots)
+    shared_tiles = spark.sparkContext.broadcast(np.maximum(tiles, 1))
     rows = rows.select("row_idx", F.xxhash64("vector").alias("id1"), F.xxhash64(F.lit(SEED), "vector").alias("id2"), "vector")
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), dtype=np.int64)
-        for *_, cell in _stored(batches, shared.value):
-            total += np.bincount(cell, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["cell", "n"])
-
-    loads = rows.mapInArrow(load, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > TILE).collect()  # at most one row per pivot
-    tiles = np.ones(len(pivots), dtype=np.int64)
-    for r in loads:
-        tiles[r["cell"]] = -(-r["n"] // TILE)
-    shared_tiles = spark.sparkContext.broadcast(tiles)
-
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = shared_tiles.value
         for ids, row, x, at, cell in _stored(batches, shared.value):

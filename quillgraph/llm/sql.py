@@ -21,6 +21,17 @@ WITH e AS (
 )
 """
 
+# brute force; the operator may lose a pair now and then (none of the 507 at sf0.01)
+_P1 = """
+WITH v AS (
+  SELECT row_idx, CAST(vector AS DOUBLE[64]) AS v FROM concept_vectors WHERE len(vector) = 64 AND list_sum(list_transform(vector, lambda x: abs(x))) > 0
+), s AS (
+  SELECT a.row_idx AS l, b.row_idx AS r, round(array_cosine_similarity(a.v, b.v), 9) AS score FROM v a JOIN v b ON a.row_idx <> b.row_idx WHERE array_cosine_similarity(a.v, b.v) >= 0.85 - 1e-9
+), k AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS n FROM s) WHERE n <= 5
+)
+"""
+
 # words with what stands around them, a letter for the boundary behind each, then cut by cut; marker lines between U+FDD0 and U+FDD1
 _MARK = r"(?m)^([\x{09}\x{0b}\x{0c}\x{1c}-\x{20}\x{a0}\x{3000}]*<!-- (?:figure|equation): \d+ -->[\x{09}\x{0b}-\x{0d}\x{1c}-\x{20}\x{a0}\x{3000}]*)$"
 _TOKEN = rf"(?:\x{{fdd0}}[^\x{{fdd1}}]*\x{{fdd1}}{_WS}*)*{_WS.replace('[', '[^', 1)[:-1]}\x{{fdd0}}\x{{fdd1}}]+{_WS}*(?:(?:\x{{fdd0}}[^\x{{fdd1}}]*\x{{fdd1}}{_WS}*)+$)?"
@@ -73,6 +84,7 @@ WITH d AS (
 """
 
 SQL = {
+    "p1_found": _P1 + "SELECT DISTINCT least(l, r) AS left_row_idx, greatest(l, r) AS right_row_idx FROM k",
     "p5_pieces": _P5,
     "p7_found": _P7 + "SELECT doc_id, item_id FROM m WHERE covered_words >= 0.5 * item_words",
     "p4_counts": _P4 + "SELECT concept_id, edges, papers, mark FROM m",

@@ -67,6 +67,20 @@ def test_null_zero_and_odd_vectors_are_in_no_pair(spark):
     assert found(spark, rows) == {(1, 2)}
 
 
+def test_vectors_of_several_lengths(spark):
+    rows = clusters(30, 7)
+    short = [(1000 + n, v[:9]) for n, v in rows] + [(5000, [1.0]), (5001, [0.0] * 9)]
+    got = found(spark, rows + short)
+    want = brute(rows) | brute([r for r in short if len(r[1]) == 9])
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def test_a_sample_without_usable_vectors(spark, monkeypatch):
+    monkeypatch.setattr(S, "LEAST_SAMPLE", 1)
+    rows = [(n, [0.0, 0.0]) for n in range(300)] + [(1000, [1.0, 0.0]), (1001, [1.0, 0.01])]
+    assert found(spark, rows) == {(1000, 1001)}
+
+
 def test_empty_table(spark):
     assert found(spark, []) == set()
     assert found(spark, [(1, None), (2, [0.0, 0.0])]) == set()
