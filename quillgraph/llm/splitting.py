@@ -19,12 +19,15 @@ MOST_BROADCAST = 1_000_000
 #: Signs that no text has (noncharacters), around a marker line while a text is split.
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 _WORDS = f"(?:{_OPEN}[^{_CLOSE}]*+{_CLOSE}[{WHITE_SPACE}]*+)*+{WORD_SIGN}++[{WHITE_SPACE}]*+(?:(?:{_OPEN}[^{_CLOSE}]*+{_CLOSE}[{WHITE_SPACE}]*+)++$)?"
-_BREAK = r"\n\r\x{85}\x{2028}\x{2029}"
+#: One line break, CR LF being one, and white space that breaks no line.
+_BREAK, _SPACE = r"(?:\r\n|[\n\x{85}\x{2028}\x{2029}]|\r(?!\n))", r"[\x09\x0b\x0c\x1c- \x{a0}\x{3000}]"
+#: What ends a word with its white space, by boundary, the strongest first; most words end as the first pattern says.
 _BOUNDARIES = (
-    ("p", rf"(?:\r\n|[{_BREAK}])[\x09\x0b\x0c\x1c- \x{{a0}}\x{{3000}}]*(?:\r\n|[{_BREAK}])[{WHITE_SPACE}]*$"),
-    ("s", rf"[.!?\x{{2026}}\x{{3002}}\x{{ff01}}\x{{ff1f}}][\"'\x{{201d}}\x{{2019}}\x{{300d}})\]]*[{WHITE_SPACE}]*$"),
-    ("l", rf"[{_BREAK}][{WHITE_SPACE}]*$"),
-    ("c", rf"[,;:\x{{3001}}\x{{ff0c}}\x{{ff1b}}][{WHITE_SPACE}]*$"),
+    ("w", r"[a-zA-Z0-9] \z"),
+    ("p", rf"{_BREAK}{_SPACE}*{_BREAK}[{WHITE_SPACE}]*\z"),
+    ("s", rf"[.!?\x{{2026}}\x{{3002}}\x{{ff01}}\x{{ff1f}}][\"'\x{{201d}}\x{{2019}}\x{{300d}})\]]*[{WHITE_SPACE}]*\z"),
+    ("l", rf"{_BREAK}[{WHITE_SPACE}]*\z"),
+    ("c", rf"[,;:\x{{3001}}\x{{ff0c}}\x{{ff1b}}][{WHITE_SPACE}]*\z"),
 )
 
 
@@ -33,16 +36,14 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(without_marker_lines(text), F.lit(WORD_SIGN + "++"))
 
 
-def words(text: Column) -> Column:
-    """The words of a text, each with the white space behind it and the marker lines before it; the last one has
-    those behind it, too. Null for null; a text without words has none."""
-    marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, ""), MARKER_LINE, f"{_OPEN}$0{_CLOSE}")
-    plain = lambda w: F.translate(w, _OPEN + _CLOSE, "")
-    return F.transform(F.regexp_extract_all(marked, F.lit(_WORDS), F.lit(0)), plain)
+def _marked(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, _OPEN + _CLOSE, ""), MARKER_LINE, f"{_OPEN}$0{_CLOSE}")
 
 
-def _trimmed(piece: Column) -> Column:
-    return F.regexp_replace(piece, f"[{WHITE_SPACE}]+$", "")
+def _words(marked: Column) -> Column:
+    """The words, each with the white space behind it and the marker lines before it; the last one has those behind it, too."""
+    found = F.regexp_extract_all(marked, F.lit(_WORDS), F.lit(0))
+    return F.when(marked.contains(_OPEN), F.transform(found, lambda w: F.translate(w, _OPEN + _CLOSE, ""))).otherwise(found)
 
 
 def _letter(word: Column) -> Column:
@@ -52,6 +53,10 @@ def _letter(word: Column) -> Column:
     return out.otherwise("w")
 
 
+def _trimmed(piece: Column) -> Column:
+    return F.regexp_replace(piece, f"[{WHITE_SPACE}]+$", "")
+
+
 def _pattern(fresh: Column, any_of: str, stops: list[str]) -> Column:
     """All the rest if it fits; else up to the limit and at least half of it, the strongest boundary first; else just the limit."""
     most = fresh.cast("string")
@@ -84,7 +89,7 @@ def split_words(df: DataFrame, text: str, limit: str, overlap: str) -> DataFrame
 
     def pieces(n: Column) -> Column:
         whole = F.filter(F.array(F.regexp_replace(F.col(text), f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")), lambda t: t != "")
-        return F.when(most.isNull() | (most < 1), None).when(n <= most, whole).otherwise(let(words(F.col(text)), cut))
+        return F.when(most.isNull() | (most < 1), None).when(n <= most, whole).otherwise(let(_words(_marked(F.col(text))), cut))
 
     # a count is cheap, and most texts need no more; the generator keeps the optimizer from computing it all again for each use of it
     both = F.when(F.col(text).isNotNull(), let(count_words(F.col(text)), lambda n: F.struct(n.alias("n_words"), pieces(n).alias("pieces"))))

@@ -46,7 +46,7 @@ WITH RECURSIVE m AS (
   FROM p JOIN m ON m.paper_id = p.paper_id WHERE text IS NOT NULL AND l.most >= 1
 ), c AS (
   SELECT *, array_to_string(list_transform(w, lambda x: CASE
-    WHEN regexp_matches(x, '(?:\r\n|{_END})[\x{{09}}\x{{0b}}\x{{0c}}\x{{1c}}-\x{{20}}\x{{a0}}\x{{3000}}]*(?:\r\n|{_END}){_WS}*$') THEN 'p'
+    WHEN regexp_matches(replace(x, chr(13) || chr(10), chr(10)), '{_END}[\x{{09}}\x{{0b}}\x{{0c}}\x{{1c}}-\x{{20}}\x{{a0}}\x{{3000}}]*{_END}{_WS}*$') THEN 'p'
     WHEN regexp_matches(x, '[.!?\x{{2026}}\x{{3002}}\x{{ff01}}\x{{ff1f}}]["''\x{{201d}}\x{{2019}}\x{{300d}})\]]*{_WS}*$') THEN 's'
     WHEN regexp_matches(x, '{_END}{_WS}*$') THEN 'l' WHEN regexp_matches(x, '[,;:\x{{3001}}\x{{ff0c}}\x{{ff1b}}]{_WS}*$') THEN 'c' ELSE 'w' END), '') AS code
   FROM t WHERE len(w) > most

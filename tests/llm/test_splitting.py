@@ -40,6 +40,12 @@ def test_natural_boundaries_come_first(spark):
     assert got == ["a b c d e.", "f g h i"]
 
 
+def test_a_wrapped_line_is_no_paragraph_whatever_its_break(spark):
+    for end in ("\n", "\r\n", "\r", "\u2028"):
+        assert pieces(spark, f"a b c{end}d e. f g h{end}{end}i j", 7)[1] == [f"a b c{end}d e.", f"f g h{end}{end}i j"]
+        assert pieces(spark, f"a b c{end}d e, f{end}{end}g h i j", 7)[1] == [f"a b c{end}d e, f", "g h i j"]
+
+
 def test_whole_null_blank_and_markers(spark):
     assert pieces(spark, "a b  c", 3) == (3, ["a b  c"])
     assert pieces(spark, None, 3) == (None, None)
@@ -69,6 +75,11 @@ def test_limits_of_many_papers_are_joined_without_a_broadcast(spark, monkeypatch
     assert "strategy=broadcast" not in plan() and split_pages(pages, m).first()["n_words"] == 4
 
 
+def test_long_words_take_linear_time(spark):
+    n, got = pieces(spark, "今日は晴れ、" * 40_000 + " end. " + "x" * 100_000 + " y z", 2)
+    assert n == 5 and [len(p.split()) for p in got] == [2, 2, 1]
+
+
 def test_very_long_text(spark):
     n, got = pieces(spark, "word " * 60_000, 512, 24)
     assert n == 60_000 and max(len(p.split()) for p in got) <= 512
