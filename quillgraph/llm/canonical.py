@@ -139,6 +139,8 @@ class CanonicalIndex:
             for g, w in weights.items():
                 lists[g].append((n, w / norm))
         self.post = [(np.array([x[0] for x in p], dtype=np.int64), np.array([x[1] for x in p])) for p in lists]
+        sizes = np.array([len(k) for k in self.keys], dtype=int)
+        self.fits = lru_cache(None)(lambda n: (sizes == n) | (sizes == 1))
         self.slips = lru_cache(500_000)(self._slips)
 
     def words(self, value: str | None) -> tuple[str, ...]:
@@ -199,7 +201,7 @@ class CanonicalIndex:
         return _matched(options, frozenset())
 
     def candidates(self, values: list[tuple[str, ...]]) -> Iterator[list[tuple[int, float]]]:
-        """For each value, the keys from the best cosine down to the threshold: (number, cosine)."""
+        """For each value, the keys of as many words, or of one, from the best cosine down to the threshold: (number, cosine)."""
         size = max(1, len(self.keys))
         step = max(1, SCORES_AT_ONCE // size)
         for lo in range(0, len(values), step):
@@ -220,9 +222,11 @@ class CanonicalIndex:
                 yield from ([] for _ in some)
                 continue
             scores = np.bincount(np.concatenate(numbers), np.concatenate(parts), minlength=len(some) * size).reshape(len(some), size) / np.array(norms)[:, None]
-            for row in np.round(scores, 9):
-                good = np.flatnonzero(row >= THRESHOLD)
-                yield [(int(k), float(row[k])) for k in good[np.argsort(-row[good], kind="stable")]]
+            for words, row in zip(some, scores, strict=True):
+                good = np.flatnonzero((row >= THRESHOLD) & self.fits(len(words)))
+                best = np.round(row[good], 9)
+                order = np.argsort(-best, kind="stable")
+                yield list(zip(good[order].tolist(), best[order].tolist(), strict=True))
 
     def match(self, values: list[str | None]) -> list[tuple[frozenset[str], float]]:
         """For each value, the entries that it writes equally closely (one, if it is clear), and the score."""
@@ -301,7 +305,9 @@ def map_to_canonical(concepts: DataFrame, reference: DataFrame, keys: tuple[str,
     strings = F.array().cast("array<string>")
     values = once.select(F.explode(F.concat(F.array("_name"), F.coalesce("_aliases", strings))).alias("value")).where("value is not null").distinct()
     path = shared_folder(spark, "values")
-    _resolved(values, [(str(r[0]), r[1], r[2]) for r in rows]).write.parquet(path)
+    # few bytes are much work here: as many tasks as the session has threads, or partitions of a shuffle
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    _resolved(values.repartition(tasks, "value"), [(str(r[0]), r[1], r[2]) for r in rows]).write.parquet(path)
     found = spark.read.schema(_VALUES).parquet(path)
 
     named = once.join(found.withColumnRenamed("value", "_name"), "_name", "left")
