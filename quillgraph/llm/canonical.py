@@ -307,7 +307,7 @@ def map_to_canonical(concepts: DataFrame, reference: DataFrame, keys: tuple[str,
     path = shared_folder(spark, "values")
     # few bytes are much work here: as many tasks as the session has threads, or partitions of a shuffle
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    _resolved(values.repartition(tasks, "value"), [(str(r[0]), r[1], r[2]) for r in rows]).write.parquet(path)
+    _resolved(values.repartition(tasks), [(str(r[0]), r[1], r[2]) for r in rows]).write.parquet(path)
     found = spark.read.schema(_VALUES).parquet(path)
 
     named = once.join(found.withColumnRenamed("value", "_name"), "_name", "left")
