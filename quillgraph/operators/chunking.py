@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLOCK_END, MARKER, count_tokens, let, split_lines, strip, words
+from ..functions.text import BLOCK_END, MARKER, let, split_lines, strip, words
 
 DEFAULT_MAX_TOKENS = 512
 
@@ -39,20 +39,22 @@ def blocks(text: Column) -> Column:
 
 
 def fitted(block_list: Column, most: Column) -> Column:
-    """Blocks over the budget as runs of their words, the others as they are."""
+    """array<struct<text, n>>: blocks over the budget as runs of their words, the others as they are; n counts the words, once."""
 
     def pieces(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w), most), lambda at: F.array_join(F.slice(w, at, most), " "))
+        run = lambda at: F.struct(F.array_join(F.slice(w, at, most), " ").alias("text"), F.least(most, F.size(w) - at + 1).alias("n"))
+        return F.transform(F.sequence(F.lit(1), F.size(w), most), run)
 
-    return F.flatten(F.transform(block_list, lambda b: let(words(b), lambda w: F.when(F.size(w) > most, pieces(w)).otherwise(F.array(b)))))
+    whole = lambda b, w: F.array(F.struct(b.alias("text"), F.size(w).alias("n")))
+    return F.flatten(F.transform(block_list, lambda b: let(words(b), lambda w: F.when(F.size(w) > most, pieces(w)).otherwise(whole(b, w)))))
 
 
-def packed(block_list: Column, most: Column) -> Column:
-    """Blocks joined by a blank line for as long as the budget holds."""
+def packed(counted: Column, most: Column) -> Column:
+    """Blocks (text, n) joined by a blank line for as long as the budget holds."""
     state = "struct<done:array<string>,open:string,n:int>"
 
-    def step(acc: Column, b: Column) -> Column:
-        n = count_tokens(b)
+    def step(acc: Column, x: Column) -> Column:
+        b, n = x["text"], x["n"]
         return (
             F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), b.alias("open"), n.alias("n")))
             .when(acc["n"] + n > most, F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), b.alias("open"), n.alias("n")))
@@ -60,7 +62,7 @@ def packed(block_list: Column, most: Column) -> Column:
         )
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("n")).cast(state)
-    return F.aggregate(block_list, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    return F.aggregate(counted, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
 
 def chunk_pages(pages: DataFrame, max_tokens: int | Column = DEFAULT_MAX_TOKENS, tokenizer: Tokenizer | None = None) -> DataFrame:

@@ -52,13 +52,14 @@ def collision_components(claims: DataFrame) -> DataFrame:
     rows = rows.join(shared, "slug").checkpoint()
     labels = rows.select("group_id", F.col("group_id").alias("component")).distinct().checkpoint()
     for _ in range(MOST_ROUNDS):
-        least = rows.join(labels, "group_id").groupBy("slug").agg(F.min("component").alias("least"))
-        near = rows.join(least, "slug").groupBy("group_id").agg(F.min("least").alias("component"))
+        labelled = rows.join(labels, "group_id")
+        least = labelled.groupBy("slug").agg(F.min("component").alias("least"))
+        # the old label comes along, so that the end is seen without a further join
+        near = labelled.join(least, "slug").groupBy("group_id").agg(F.min("least").alias("component"), F.min("component").alias("old"))
         above = labels.select(F.col("group_id").alias("component"), F.col("component").alias("up"))
-        new = near.join(above, "component", "left").select("group_id", F.least("component", F.coalesce("up", "component")).alias("component")).checkpoint()
-        same = new.join(labels.withColumnRenamed("component", "old"), "group_id").where("component <> old").limit(1).count() == 0
-        labels = new
-        if same:
+        new = near.join(above, "component", "left").select("group_id", F.least("component", F.coalesce("up", "component")).alias("component"), "old").checkpoint()
+        labels = new.drop("old")
+        if not new.where("component <> old").take(1):
             return labels
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
 

@@ -168,6 +168,11 @@ def _chunks(spark, d):
     return chunking.chunk_pages(_pages(spark, d), PAGE_BUDGET)
 
 
+def _chunks_of(spark, d, quotes: DataFrame) -> DataFrame:
+    """The chunks of the papers that are quoted."""
+    return chunking.chunk_pages(_pages(spark, d).join(quotes.select("paper_id").distinct(), "paper_id", "left_semi"), PAGE_BUDGET)
+
+
 def chunk_pages(spark, d):
     return _chunks(spark, d).select("id", "paper_id", "idx", "page_start", "page_end", "text")
 
@@ -189,11 +194,13 @@ def evidence_issues(spark, d):
 
 
 def evidence_resolve(spark, d):
-    return evidence.resolve_evidence(_quotes(spark, d), _chunks(spark, d)).where("chunk_id is not null")
+    q = _quotes(spark, d)
+    return evidence.resolve_evidence(q, _chunks_of(spark, d, q)).where("chunk_id is not null")
 
 
 def evidence_unresolved(spark, d):
-    return evidence.resolve_evidence(_moved(_quotes(spark, d)), _chunks(spark, d)).where("chunk_id is null").select("paper_id", "page", "quote")
+    q = _quotes(spark, d)
+    return evidence.resolve_evidence(_moved(q), _chunks_of(spark, d, q)).where("chunk_id is null").select("paper_id", "page", "quote")
 
 
 def extraction_issues(spark, d):
@@ -377,7 +384,7 @@ def _built(spark, d):
     edges = local.select("paper_id", F.col("concept_id").alias("local_id"), "relation", F.transform("evidence", lambda e: F.struct(e["page"].alias("page"), e["quote"].alias("quote"))).alias("evidence"), F.unix_micros("recorded_at").alias("edge_pos"))
     papers = load(spark, d, "papers").select(F.col("id").alias("paper_id"), F.lit(0).alias("corpus_pos"))
     quotes = evidence.exploded_evidence(edges, "paper_id")
-    resolved = written(evidence.resolve_evidence(quotes, _chunks(spark, d)), "resolved-evidence")
+    resolved = written(evidence.resolve_evidence(quotes, _chunks_of(spark, d, quotes)), "resolved-evidence")
     return graph.build_graph(papers, _nodes(spark, d), edges, _local_relations(spark, d), _general(spark, d), resolved, _local(spark, d))
 
 
