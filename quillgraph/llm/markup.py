@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 FAMILIES = ("html", "markdown", "wiki", "latex")
-#: Lines in a window, blank ones not counted; text length (letters and digits) from which a window is a surge.
+#: Lines in a window, blank ones not counted; text length from which a window is a surge.
 WINDOW, SURGE = 3, 2
 #: Own marks in a text under conversion, taken out of the input: a set-aside part, a heading, an item, a link.
 _PART, _END, _HEAD, _ITEM, _LINK, _LINKED = "\x02", "\x03", "\x04", "\x05", "\x06", "\x07"
@@ -225,6 +225,10 @@ def _wiki(page: _Page) -> None:
         page.sub(_WIKI_HEADING, "wiki", lambda m: _HEAD + m[2].strip())
 
 
+#: The signs that a line of Markdown's own may begin with.
+_FIRST = frozenset("#=-*_|:>+0123456789")
+
+
 def _markdown_lines(page: _Page) -> None:
     lines = page.text.split("\n")
     out: list[str] = []
@@ -238,6 +242,9 @@ def _markdown_lines(page: _Page) -> None:
             in_quote = False
             out.append(line)
             continue
+        if line.lstrip()[:1] not in _FIRST:
+            out.append(line)
+            continue
         if m := _ATX.match(line):
             page.seen.add("markdown")
             out.append(_HEAD + m[2])
@@ -320,12 +327,17 @@ def _markdown(page: _Page) -> None:
 _ASIDE = re.compile(f"{_PART}(\\d+){_END}")
 _ANCHOR = re.compile(f"{_LINK}[^{_LINK}{_LINKED}]*{_LINKED}?")
 _MARKS = re.compile("[\x02-\x07]")
-_SIGNS = re.compile(r"[\W_]+")
+_SIGN = re.compile(r"[^\W_]")
 
-#: A line laid out: kind, text, letters and digits outside links, those in links, links.
+#: A line laid out: kind, text, text length outside links, that in links, links.
 _Line = tuple[str, str, int, int, int]
 
 
+def _size(text: str) -> int:
+    """The text length: signs without blanks, if there is a letter or digit at all."""
+    return len(text) - text.count(" ") if _SIGN.search(text) else 0
+
+
 def _lay_out(page: _Page) -> list[_Line]:
     """The lines; set-aside blocks get lines of their own, spans go back into theirs."""
     out: list[_Line] = []
@@ -347,7 +359,7 @@ def _lay_out(page: _Page) -> list[_Line]:
                 name, number = text.split()
                 out.append(("marker", f"<!-- {name}: {number} -->", 1, 0, 0))
             else:
-                out += [(kind, x, len(_SIGNS.sub("", x)), 0, 0) for x in (text.split("\n") or [""])]
+                out += [(kind, x, _size(x), 0, 0) for x in (text.split("\n") or [""])]
         if held.strip() or len(parts) == 1:
             out.append(_line(held))
     return out
@@ -358,11 +370,11 @@ def _line(line: str) -> _Line:
     own = line
     if _LINK in line or _LINKED in line:
         found = _ANCHOR.findall(line)
-        links, inside = len(found), len(_SIGNS.sub("", "".join(found)))
+        links, inside = len(found), _size("".join(found))
         own = _ANCHOR.sub("", line)
         line = line.replace(_LINK, "").replace(_LINKED, "")
     kind, text = _kind(line)
-    return kind, text, len(_SIGNS.sub("", own)), inside, links
+    return kind, text, _size(own), inside, links
 
 
 def _kind(line: str) -> tuple[str, str]:
@@ -377,7 +389,7 @@ def _kind(line: str) -> tuple[str, str]:
     s = s.replace(_ITEM, "")
     if " | " in s:
         return "table", s
-    return "text", re.sub(r"[^\S\n]+", " ", s)
+    return "text", " ".join(s.split())
 
 
 def _lengths(lines: list[_Line]) -> list[int]:
