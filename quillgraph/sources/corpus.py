@@ -71,6 +71,24 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(part, target)
 
 
+def write_files(files: DataFrame) -> int:
+    """Writes each row (path, text) as a file, on the executors and through Arrow's file systems; how many. A task that
+    runs again writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                system, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(name) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "text").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> dict:
     """One JSON document, checked against its schema, unknown fields refused."""
     raw = read_text(spark, path)

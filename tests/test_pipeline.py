@@ -14,6 +14,7 @@ from quillgraph.plans.normalize import normalize
 from quillgraph.plans.search_papers import ModelMismatch, check_queries, search
 from quillgraph.sources import corpus, index_store
 
+# fixed values: the layout and the fields of the files that a corpus is read from
 PAPERS = {
     1: ("Walking graphs", ["# Walking\nWe propose graph walks for reading lists.", "Graph walks use dense retrieval.\n\n<!-- figure: 1 -->\nReading lists matter."]),
     2: ("Dense retrieval", ["Dense retrieval is used with graph walks here."]),
