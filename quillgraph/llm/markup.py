@@ -42,15 +42,17 @@ TAGS = (
 _TAG = re.compile(rf"<(?!(?:input|img|link|meta|param|iframe|object)>)(/?)({'|'.join(TAGS.split())})((?:\s[^<>]*)?)/?>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _MARKER = re.compile(r"(?m)^[^\S\n]*<!-- (figure|equation): (\d+) -->[^\S\n]*$")
-_COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>", re.S | re.I)
-_HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_COMMENT = re.compile(r"<!--(?:[^-<]++|-(?!->)|<(?!!--))*+-->|<!DOCTYPE[^<>]*>", re.S | re.I)
+_HIDDEN = re.compile(r"<(script|style)\b[^<>]*>(?:[^<]++|<(?!/?\1\b))*+</\1\s*>", re.S | re.I)
+_TABULAR = re.compile(r"\\begin\{tabular\*?\}(?:[^\\]++|\\(?!(?:begin|end)\{tabular))*+\\end\{tabular\*?\}", re.S)
 
 _CODE = re.compile(
     r"(?P<fence>^[^\S\n]{0,3}(?P<mark>`{3,}|~{3,})[^\n`]*\n(?P<body>.*?)(?:^[^\S\n]{0,3}(?P=mark)[`~]*[^\S\n]*$|\Z))"
-    r"|(?P<pre><pre\b[^>]*>(?P<inner>.*?)</pre\s*>)"
-    r"|(?P<source><(?P<tag>syntaxhighlight|source|nowiki)\b[^>]*>(?P<listing>.*?)</(?P=tag)\s*>)"
+    # up to the next tag of the same name, so that openers without an end cost one pass together
+    r"|(?P<pre><pre\b[^<>]*>(?P<inner>(?:[^<]++|<(?!/?pre\b))*+)</pre\s*>)"
+    r"|(?P<source><(?P<tag>syntaxhighlight|source|nowiki)\b[^<>]*>(?P<listing>(?:[^<]++|<(?!/?(?P=tag)\b))*+)</(?P=tag)\s*>)"
     r"|(?P<verbatim>\\begin\{(?P<env>verbatim\*?|lstlisting|minted|alltt)\}(?:\[[^\]\n]*\])?(?P<text>.*?)(?:\\end\{(?P=env)\}|\Z))"
-    r"|(?P<html><code\b[^>]*>(?P<short>.*?)</code\s*>)"
+    r"|(?P<html><code\b[^<>]*>(?P<short>(?:[^<]++|<(?!/?code\b))*+)</code\s*>)"
     r"|(?P<inline>(?<![`\\])`(?!`)(?P<span>" + _SPAN.format("`") + r"++)`(?!`))",
     re.S | re.M | re.I,
 )
@@ -192,7 +194,7 @@ def _latex(page: _Page) -> None:
     if "\\" not in page.text:
         return
     if "\\begin{tabular" in page.text:
-        page.text = re.sub(r"\\begin\{tabular\*?\}.*?\\end\{tabular\*?\}", lambda m: re.sub(r"[^\S\n]*\\\\[^\S\n]*(?:\\hline)?", "", re.sub(r"[^\S\n]+&[^\S\n]+", " | ", m[0])), page.text, flags=re.S)
+        page.text = _TABULAR.sub(lambda m: re.sub(r"[^\S\n]*\\\\[^\S\n]*(?:\\hline)?", "", re.sub(r"[^\S\n]+&[^\S\n]+", " | ", m[0])), page.text)
     for pattern, to in (
         (_LATEX_ENV, ""), (_LATEX_ITEM, lambda m: f"{_ITEM}{m[1] + ' ' if m[1] else ''}"), (_LATEX_HEADING, lambda m: _HEAD + m[1]), (_LATEX_CITE, ""), (_LATEX_SWITCH, r"\1"),
     ):

@@ -102,13 +102,13 @@ def test_a_construct_may_be_as_long_as_its_paragraph(text, want):
     assert "{" not in convert(text)[0] and "*" not in convert(text)[0]
 
 
-@pytest.mark.parametrize("sign", ["**", "`", "[", "![", "$", "$1", "_", "__", "~~", "''", "{{", "\\(", "\\[", "<!--", "[["])
+@pytest.mark.parametrize("sign", ["**", "`", "[", "![", "$", "$1", "_", "__", "~~", "''", "{{", "\\(", "\\[", "<!--", "[[", "<pre>", "<code>", "<nowiki>", "<source>", "<script>", "<style>", "\\begin{tabular}", "{|\n", "```\n"])
 def test_openers_without_an_end_take_linear_time(sign):
     import time
 
     began = time.process_time()
     convert(f"{sign}a b " * 20_000)
-    assert time.process_time() - began < 20
+    assert time.process_time() - began < 4
 
 
 MENU = "[Home](a.md) | [About](b.md) | [Contact](c.md)\n\n"
