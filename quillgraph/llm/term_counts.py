@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import NotFound, read_text, write_text
+from ..sources.folders import delete_folder
 from .common import WHITE_SPACE, shared_folder
 
 #: Rows of the state per partition; the number of partitions is doubled until they fit.
@@ -78,9 +79,10 @@ class TermCountStore:
         try:
             kept = json.loads(read_text(spark, f"{self.path}/manifest.json"))
         except NotFound:
-            kept = {"version": 0, "parts": 0, "rows": 0, "at": {}}
+            kept = {"version": 0, "parts": 0, "rows": 0, "at": {}, "former": []}
         self.version, self.parts, self.rows = kept["version"], kept["parts"], kept["rows"]
         self.at: dict[int, str] = {int(p): folder for p, folder in kept["at"].items()}
+        self.former: list[str] = kept["former"]
 
     def apply(self, added: DataFrame | None, removed: DataFrame | None, term: str, record: str) -> None:
         """One change set. It is aggregated once, into a table; the state is read in the partitions it touches."""
@@ -109,10 +111,12 @@ class TermCountStore:
             at = self.at | {p: there for p in touched}
         before = 0 if not known else self._read(known, "pairs", _PAIRS).count()
         rows = self.rows - before + self.spark.read.schema(_PAIRS).parquet(f"{there}/pairs").count()
-        write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"version": self.version, "parts": parts, "rows": rows, "at": at}))
-        self.at, self.parts, self.rows = at, parts, rows
-        for used in ("delta", "merged"):
-            _delete(self.spark, f"{there}/{used}")
+        former = sorted(set(self.at.values()) - set(at.values()))
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"version": self.version, "parts": parts, "rows": rows, "at": at, "former": former}))
+        # what the last change set left may still be read; what the one before it left goes
+        for done in (f"{there}/delta", f"{there}/merged", *(set(self.former) - set(at.values()))):
+            delete_folder(self.spark, done)
+        self.at, self.parts, self.rows, self.former = at, parts, rows, former
 
     def _write(self, df: DataFrame, path: str) -> None:
         """By partition, few files each; a partition with a hot term is split over several tasks."""
@@ -139,11 +143,6 @@ def _part(parts: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def concept_counts(paper_concepts: DataFrame, concepts: DataFrame, papers: DataFrame, threshold: float) -> DataFrame:
     """(concept_id, edges, papers, mark) of every concept id in paper_concepts, counted from the edges alone.
 

@@ -35,6 +35,7 @@ def test_deltas_give_what_a_recount_gives(spark, tmp_path):
         assert {tuple(r) for r in store.counts().collect()} == count(now)
         assert store.rows == len({r for r in now if r[0] is not None}) and store.parts * 20 >= store.rows
     assert store.parts > 1 and store.version == 3
+    assert {str(p) for p in (tmp_path / "s").glob("v*")} == {*store.at.values(), *store.former}
 
 
 def test_a_deletion_may_come_first(spark, tmp_path):
