@@ -1,12 +1,14 @@
 """Problem 1: the most similar vectors of every vector, by collision-counting hashing.
 
-Every vector is stored in the cells of its nearest pivots (a bounded sample of the vectors), so that close
-vectors share a cell. In a cell, each of PROJECTIONS random projections is one sorted array. Virtual rehashing
-widens a window centred on each vector, level by level, in all arrays; two vectors that fall into each other's
-windows in at least COLLISIONS arrays are verified by their exact cosine. A vector whose k best are verified
-within a level's radius takes no part in the next. Cells are split into tiles by their loads, as the sample has
-them, so that no task holds more than about two tiles; no vector, partner or candidate is dropped. Vectors of
-different lengths are searched apart.
+Every vector is stored in the cells of its nearest pivots (a sample of the vectors), so that close vectors share
+a cell. There are as many pivots as the root of the table, times a constant, so that the work for a vector grows
+no faster than that root, whether it meets pivots or the vectors of its cells. In a cell, each of PROJECTIONS
+random projections is one sorted array with a window centred on each vector, as wide as the least cosine asks;
+two vectors that fall into each other's windows in at least COLLISIONS arrays are verified by their exact cosine.
+Collisions are counted by comparing ranks for a block of pairs at a time, which takes less than growing the
+windows level by level. Cells are split into tiles by their loads, as the sample has them, so that no task holds
+more than about two tiles; no vector, partner or candidate is dropped. Vectors of different lengths are searched
+apart.
 
 Exact copies are found by a hash of the vector. They are compared once as one vector and joined again at the
 end, the smallest row_idx first, so that a group of copies never makes more than k pairs per member.
@@ -14,6 +16,7 @@ end, the smallest row_idx first, so that a group of copies never makes more than
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -24,10 +27,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROJECTIONS, COLLISIONS, SEED = 32, 16, 20_240_229
-#: Half width of a window as a multiple of the level's radius; each level's radius as a share of the last one's.
-WIDTH, LEVELS = 1.0, (0.6, 1.0)
-#: Vectors per pivot; most pivots (4 MB at 64 dimensions); most vectors in a tile.
-PER_PIVOT, MOST_PIVOTS, TILE = 120, 16_384, 3_000
+#: Half width of a window as a multiple of the radius that the least cosine gives.
+WIDTH = 1.0
+#: Least vectors per pivot; most vectors in a tile.
+PER_PIVOT, TILE = 120, 50_000
+#: Pivots are at most the root of SPREAD times the vectors, so that neither the search for a vector's pivots nor
+#: that in its cells grows faster than the root of the table.
+SPREAD = 20
+#: Pairs that are counted at once: a block stays in the processor's cache.
+BLOCK = 1 << 18
+#: Pairs that wait until each vector's best are chosen again.
+MOST_WAITING = 1_000_000
 #: Vectors in the sample that gives the pivots and the cells' loads: LEAST_SAMPLE, or twice the pivots.
 LEAST_SAMPLE = 20_000
 #: A vector is stored with each pivot within MARGIN of its best one: at least 2, at most MOST_CELLS.
@@ -51,20 +61,31 @@ def _units(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[fine], (x[fine] / norm[fine, None]).astype(np.float32)
 
 
+def _pivot_count(n: int) -> int:
+    return max(1, min(n // PER_PIVOT, math.isqrt(int(SPREAD * n))))
+
+
 def _cells(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) of each storage place of the vectors."""
-    s = x @ pivots.T
-    best = s.max(axis=1)
-    near = s >= best[:, None] - MARGIN
-    n = near.sum(axis=1)
-    if s.shape[1] > 1:
-        for r in np.flatnonzero(n < 2):
-            near[r, np.argpartition(s[r], -2)[-2:]] = True
-    if s.shape[1] > MOST_CELLS:
-        for r in np.flatnonzero(n > MOST_CELLS):
-            near[r] = False
-            near[r, np.argpartition(s[r], -MOST_CELLS)[-MOST_CELLS:]] = True
-    return np.nonzero(near)
+    at, cells = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    step = max(64, (1 << 20) // len(pivots))
+    for lo in range(0, len(x), step):
+        s = x[lo : lo + step] @ pivots.T
+        best = s.max(axis=1)
+        row, cell = np.nonzero(s >= best[:, None] - MARGIN)
+        n = np.bincount(row, minlength=len(s))
+        if (n > MOST_CELLS).any():
+            order = np.lexsort((-s[row, cell], row))
+            row, cell = row[order], cell[order]
+            kept = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < MOST_CELLS
+            row, cell = row[kept], cell[kept]
+        if s.shape[1] > 1 and len(alone := np.flatnonzero(n < 2)):
+            others = s[alone]
+            others[np.arange(len(alone)), others.argmax(axis=1)] = -np.inf
+            row, cell = np.concatenate([row, alone]), np.concatenate([cell, others.argmax(axis=1)])
+        at.append(row + lo)
+        cells.append(cell)
+    return np.concatenate(at), np.concatenate(cells)
 
 
 def _stored(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -86,59 +107,43 @@ def _stored(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[t
                 yield (ids[new], batch.column("row_idx").to_numpy()[rows][new], x, *_cells(x, pivots))
 
 
-def count_collisions(x: np.ndarray, radius: float, k: int, score_at_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, cosine) of the verified pairs of the unit vectors x."""
+def count_collisions(x: np.ndarray, radius: float, score_at_least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left, right, cosine) of the verified pairs of the unit vectors x, left before right, block by block of all pairs.
+
+    The window of a vector reaches in each sorted array from its rank to before its end, so two meet if each one's
+    rank is before the other's end. A block's cosines come from one product, which takes less than gathering the
+    vectors of its candidates; those near the least cosine or above it are computed again in double precision.
+    """
     n = len(x)
     a = np.random.default_rng(SEED).standard_normal((x.shape[1], PROJECTIONS)).astype(np.float32)
     h = x @ a
-    order = np.argsort(h, axis=0, kind="stable")
-    h = np.take_along_axis(h, order, axis=0)
-    count = np.zeros(n * n, dtype=np.uint8)
-    done = np.arange(n)[:, None] + np.ones((1, PROJECTIONS), int)  # windows end before this rank
-    verified = np.zeros((n, n), dtype=bool)
-    left, right, score = [], [], []
-    active = np.ones(n, dtype=bool)
-    exact = x.astype(np.float64)
-    for level in LEVELS:
-        reach = radius * level
-        for p in range(PROJECTIONS):
-            ends = np.searchsorted(h[:, p], h[:, p] + WIDTH * reach, side="right")
-            grown = ends - done[:, p]
-            o = order[:, p]
-            for lo, hi in _chunks(grown, 2_000_000):
-                g = grown[lo:hi]
-                i = np.repeat(np.arange(lo, hi), g)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(g) - g, g) + np.repeat(done[lo:hi, p], g)
-                i, j = o[i], o[j]
-                if not active.all():
-                    some = active[i] | active[j]
-                    i, j = i[some], j[some]
-                count[np.minimum(i, j) * n + np.maximum(i, j)] += 1
-            done[:, p] = np.maximum(done[:, p], ends)
-        i, j = np.nonzero((count.reshape(n, n) >= COLLISIONS) & ~verified)
-        verified[i, j] = True
-        for lo in range(0, len(i), 200_000):
-            a_, b_ = i[lo : lo + 200_000], j[lo : lo + 200_000]
-            c = np.einsum("ij,ij->i", exact[a_], exact[b_])
-            good = c >= score_at_least - 1e-9
-            left.append(a_[good])
-            right.append(b_[good])
-            score.append(c[good])
-        l, r, s = (np.concatenate(v) if v else np.empty(0) for v in (left, right, score))
-        inside = s >= 1 - reach * reach / 2
-        near = np.bincount(np.concatenate([l[inside], r[inside]]).astype(int), minlength=n)
-        active = near < k
-        if not active.any():
-            break
-    return l.astype(int), r.astype(int), s
-
-
-def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    ends = np.cumsum(sizes)
+    small = np.uint16 if n < 1 << 16 else np.uint32
+    rank, end = np.empty((PROJECTIONS, n), small), np.empty((PROJECTIONS, n), small)
+    for p in range(PROJECTIONS):
+        order = np.argsort(h[:, p], kind="stable")
+        sorted_ = h[order, p]
+        rank[p, order] = np.arange(n)
+        end[p, order] = np.searchsorted(sorted_, sorted_ + WIDTH * radius, side="right")
     lo = 0
-    while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
-        yield lo, hi
+    while lo < n:
+        hi = min(n, lo + max(1, BLOCK // (n - lo)))
+        count = np.zeros((hi - lo, n - lo), np.uint8)
+        one, two = np.empty(count.shape, bool), np.empty(count.shape, bool)
+        for ranks, ends in zip(rank, end):
+            np.less(ranks[None, lo:], ends[lo:hi, None], out=one)
+            np.less(ranks[lo:hi, None], ends[None, lo:], out=two)
+            one &= two
+            count += one.view(np.uint8)
+        np.greater_equal(count, COLLISIONS, out=one)
+        one &= x[lo:hi] @ x[lo:].T >= score_at_least - 1e-3
+        i, j = np.nonzero(one)
+        later = j > i
+        i, j = i[later] + lo, j[later] + lo
+        for at in range(0, len(i), 1 << 14):
+            l, r = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            c = np.einsum("ij,ij->i", x[l].astype(np.float64), x[r].astype(np.float64))
+            good = c >= score_at_least - 1e-9
+            yield l[good], r[good], c[good]
         lo = hi
 
 
@@ -151,6 +156,24 @@ def _best(left: np.ndarray, right: np.ndarray, score: np.ndarray, row: np.ndarra
     return order[rank < k]
 
 
+def _best_of(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], row: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The pairs taken both ways, of each left its k best. No more than MOST_WAITING and a block wait beside the best."""
+    waiting = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+
+    def chosen() -> tuple[np.ndarray, ...]:
+        left, right, score = (np.concatenate(v) for v in zip(*waiting))
+        kept = _best(left, right, score, row, k) if len(left) else slice(0)
+        return left[kept], right[kept], score[kept]
+
+    held = 0
+    for l, r, s in pairs:
+        waiting += [(l, r, s), (r, l, s)]
+        held += 2 * len(l)
+        if held > MOST_WAITING:
+            waiting, held = [chosen()], 0
+    return chosen()
+
+
 def similar_vectors(vectors: DataFrame, k: int = 5, score_at_least: float = 0.85, key: str = "row_idx", vector: str = "vector") -> DataFrame:
     """(left_row_idx, right_row_idx, score), the smaller first, each pair once: the cosine is at least
     score_at_least and one of the two is among the k most similar of the other (ties: smaller key first).
@@ -179,7 +202,7 @@ def similar_vectors(vectors: DataFrame, k: int = 5, score_at_least: float = 0.85
 
 def _sampled(rows: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(pivots, tiles of each pivot's cell), from a bounded sample by a hash of the key."""
-    pivots = min(MOST_PIVOTS, max(1, n // PER_PIVOT))
+    pivots = _pivot_count(n)
     wanted = max(LEAST_SAMPLE, 2 * pivots)
     total = rows.count() if n <= wanted else n  # unusable vectors are few, or the table is small
     sample = rows.where(F.pmod(F.xxhash64("row_idx", F.lit(SEED)), F.lit(max(total, 1))) < wanted).select("vector").limit(2 * wanted).toArrow()
@@ -228,14 +251,10 @@ def _of_size(rows: DataFrame, size: int, n: int, k: int, score_at_least: float)
         keep = order[first]
         x = np.frombuffer(b"".join(table.column("x").take(pa.array(keep)).to_pylist()), dtype=np.float32).reshape(-1, size)
         ids, row, own = ids[keep], row[keep], table.column("own").to_numpy()[keep]
-        l, r, s = count_collisions(x, radius, k, score_at_least)
+        pairs = count_collisions(x, radius, score_at_least)
         if table.column("a")[0].as_py() != table.column("b")[0].as_py():
-            across = own[l] != own[r]
-            l, r, s = l[across], r[across], s[across]
-        left, right, score = np.concatenate([l, r]), np.concatenate([r, l]), np.concatenate([s, s])
-        if len(left):
-            kept = _best(left, right, score, row, k)
-            left, right, score = left[kept], right[kept], score[kept]
+            pairs = ((l[across], r[across], s[across]) for l, r, s in pairs for across in [own[l] != own[r]])
+        left, right, score = _best_of(pairs, row, k)
         return pa.table({"q1": ids[left, 0], "q2": ids[left, 1], "n1": ids[right, 0], "n2": ids[right, 1], "score": pa.array(score, pa.float64())})
 
     stored = rows.mapInArrow(store, "cell int, a int, b int, own int, id1 bigint, id2 bigint, row_idx bigint, x binary")

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -93,3 +95,34 @@ def test_hot_cells_are_tiled_without_loss(spark, monkeypatch):
     monkeypatch.setattr(S, "PER_PIVOT", 10_000)
     want = brute(rows)
     assert len(found(spark, rows) & want) >= 0.97 * len(whole & want)
+
+
+def test_pivots_keep_growing_and_a_vector_meets_few():
+    # 0.08, 6.2 and 100 GB of 64 dimensions: the vectors per pivot stopped nothing beyond a cap before
+    for n in (240_000, 18_000_000, 290_000_000):
+        pivots = S._pivot_count(n)
+        assert pivots <= 4 * n**0.5 and n / pivots <= n**0.5
+    assert S._pivot_count(1) == 1 and S._pivot_count(2_400) == 20
+
+
+def test_a_loaded_cell_takes_little_time_for_a_pair():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6_000, 64)).astype(np.float32)
+    x[3_000:] = x[:3_000] + rng.normal(size=(3_000, 64)).astype(np.float32) * 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    began = time.process_time()
+    found = [p for l, r, _ in S.count_collisions(x, 0.3**0.5, 0.85) for p in zip(l.tolist(), r.tolist())]
+    assert time.process_time() - began < 6
+    assert len(found) == len(set(found)) and sum(r == l + 3_000 for l, r in found) >= 0.97 * 3_000
+
+
+def test_a_cell_of_likes_holds_few_pairs_at_once(monkeypatch):
+    x = np.random.default_rng(5).normal(size=(400, 16)) * 0.05 + 1
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    row = np.arange(400)[::-1]
+    pairs = list(S.count_collisions(x, 0.3**0.5, 0.85))
+    whole = S._best_of(iter(pairs), row, 5)
+    monkeypatch.setattr(S, "MOST_WAITING", 100)
+    parts = S._best_of(((l[n : n + 50], r[n : n + 50], s[n : n + 50]) for l, r, s in pairs for n in range(0, len(l), 50)), row, 5)
+    assert len(whole[0]) == 400 * 5
+    assert set(zip(*(v.tolist() for v in whole))) == set(zip(*(v.tolist() for v in parts)))
