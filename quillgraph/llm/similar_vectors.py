@@ -124,19 +124,21 @@ def count_collisions(x: np.ndarray, radius: float, score_at_least: float) -> Ite
         sorted_ = h[order, p]
         rank[p, order] = np.arange(n)
         end[p, order] = np.searchsorted(sorted_, sorted_ + WIDTH * radius, side="right")
+    # the same memory for every block, as fresh pages cost more than what is written to them
+    room = [np.empty(max(n, min(BLOCK, n * n)), kind) for kind in (np.uint8, bool, bool, np.float32)]
     lo = 0
     while lo < n:
         hi = min(n, lo + max(1, BLOCK // (n - lo)))
-        count = np.zeros((hi - lo, n - lo), np.uint8)
-        one, two = np.empty(count.shape, bool), np.empty(count.shape, bool)
+        count, one, two, product = (r[: (hi - lo) * (n - lo)].reshape(hi - lo, n - lo) for r in room)
+        count[:] = 0
         for ranks, ends in zip(rank, end):
             np.less(ranks[None, lo:], ends[lo:hi, None], out=one)
             np.less(ranks[lo:hi, None], ends[None, lo:], out=two)
             one &= two
             count += one.view(np.uint8)
         np.greater_equal(count, COLLISIONS, out=one)
-        one &= x[lo:hi] @ x[lo:].T >= score_at_least - 1e-3
-        i, j = np.nonzero(one)
+        one &= np.greater_equal(np.matmul(x[lo:hi], x[lo:].T, out=product), score_at_least - 1e-3, out=two)
+        i, j = np.divmod(np.flatnonzero(one.reshape(-1)), n - lo)
         later = j > i
         i, j = i[later] + lo, j[later] + lo
         for at in range(0, len(i), 1 << 14):
