@@ -133,3 +133,30 @@ def test_merge_checks(spark):
         ("concepts[0].type", "is 'keyword', which none of the merged concepts has; they are method"), ("concepts", "paper 1 'c2' is in no merged_from"),
     }
     assert {r["id"] for r in M.derive_solo(concepts).collect()} == {"n", "concept-1-c2"}
+
+
+@pytest.mark.parametrize("hops", [0, 1, 2, 3])
+def test_path_counts_are_those_of_the_paths(spark, hops, monkeypatch):
+    """By counts, whatever the blocks, with loops, parallel edges and walks that would come back."""
+    rng = random.Random(10 + hops)
+    papers = list(range(1, 13))
+    concepts = [(f"c{n}", rng.choice(["method", "problem", "keyword"]), rng.randint(0, 7)) for n in range(10)]
+    edges = sorted({(rng.choice(papers), f"c{rng.randrange(10)}", rng.choice(["uses", "proposes", "mentions"])) for _ in range(60)})
+    relations = [(f"c{rng.randrange(10)}", f"c{rng.randrange(10)}", rng.choice(["is_a", "part_of"]), rng.choice([None, 1, 2])) for _ in range(25)]
+    config = T.SearchConfig(max_hops=hops, generic_concept_threshold=0.5)
+    g = make(spark, papers, concepts, edges, relations)
+    sources = spark.createDataFrame([(1,), (2,), (3,), (3,), (99,)], "paper_id bigint")
+    paths = T.NeighborhoodTraversal().traverse(g, sources, 12, config)
+    want = {tuple(r) for r in paths.groupBy("source_paper_id", "target_paper_id", "n_hops").count().collect()}
+    for at_once in (1_000_000, 5):
+        monkeypatch.setattr(T, "EDGES_AT_ONCE", at_once)
+        monkeypatch.setattr(T, "ENDS_AT_ONCE", at_once)
+        got = T.path_counts(g, sources, 12, config)
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) == want and len(rows) == len(want) > 10
+    if hops < 3:  # pairs of papers are neither joined nor shuffled
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+    assert T.path_counts(g, sources.limit(0), 12, config).count() == 0
+    none = G.Graph(g.papers, g.concepts, g.paper_concepts.limit(0), g.concept_relations)
+    assert T.path_counts(none, sources, 12, config).count() == 0
