@@ -3,13 +3,15 @@
     papers/index.json                  papers/NNNN/paper.json        papers/NNNN/pages/NNN.md
     papers/NNNN/extraction.json        normalization/concepts.json   normalization/concept_relations.json
 
-Pages and extractions are read by the executors, so a corpus of any size is; only single files go through
-the driver. Paths may be of any file system that Spark knows (s3a:// with its jars on the class path).
+Pages and extractions are read by the executors, so a corpus of any size is; only single files and the names of
+the papers' folders go through the driver. Paths may be of any file system that Spark knows (s3a:// with its jars on
+the class path); folders of a file system that is mounted (file:) are listed and read by the executors, many in a task.
 """
 
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -24,6 +26,10 @@ from . import schemas
 from .folders import written
 
 
+#: Papers whose files a task reads, and bytes of files that it hands on at once.
+PAPERS_A_TASK, BYTES_AT_ONCE = 2_000, 4_000_000
+
+
 class SourceError(RuntimeError):
     """A stored artifact can't be used; location names it."""
 
@@ -64,7 +70,9 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     stream = fs.create(part, True)
     try:
-        stream.write(text.encode())
+        data = text.encode()
+        for lo in range(0, len(data), BYTES_AT_ONCE):  # py4j holds what passes it several times
+            stream.write(data[lo : lo + BYTES_AT_ONCE])
     finally:
         stream.close()
     fs.delete(target, False)
@@ -79,9 +87,12 @@ def write_files(files: DataFrame) -> int:
         from pyarrow import fs
 
         for batch in batches:
+            made = set()
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 system, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                if (folder := name.rsplit("/", 1)[0]) not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(name) as out:
                     out.write(text.encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
@@ -117,8 +128,80 @@ def paper_ledger(spark: SparkSession, data_dir: str) -> DataFrame:
     return spark.createDataFrame([(p["id"], p["title"], n) for n, p in enumerate(papers)], "paper_id bigint, title string, corpus_pos int")
 
 
-def _documents(spark: SparkSession, pattern: str | list[str], schema: str) -> DataFrame:
-    """(path, directory, value, problems) of many JSON documents, checked on the executors."""
+def _mounted(spark: SparkSession, data_dir: str) -> str | None:
+    """The folder's name on this machine, if it is on a file system that is mounted."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(data_dir)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() != "file":
+        return None
+    return path.toUri().getPath()
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's readers pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _below(folder: str) -> Iterator[str]:
+    """All files in a folder and in those below it."""
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except (FileNotFoundError, NotADirectoryError):
+        return
+    for e in entries:
+        if not _hidden(e.name):
+            if e.is_dir():
+                yield from _below(e.path)
+            else:
+                yield e.path
+
+
+def _paper_files(spark: SparkSession, data_dir: str, inside: str, paper_ids: Sequence[int] | None = None) -> DataFrame:
+    """(path, raw) of the file with this name in each paper's folder, or of the files below it (NAME/*); of all papers,
+    or of the given ones, which must have it. NotFound if there is none.
+
+    Spark would list the files one by one and, taking each for 4 MB, read a few in a task."""
+    asked = None if paper_ids is None else [f"{i:04d}" for i in sorted(set(paper_ids))]
+    patterns = [f"{data_dir}/papers/{x}/{inside}" for x in ("*",) * (asked is None) + tuple(asked or ())]
+    if (base := _mounted(spark, f"{data_dir}/papers")) is None:
+        try:
+            return spark.read.text(patterns, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+        except PySparkException as e:
+            raise NotFound(patterns[0], "does not exist") from e
+    whole = inside.endswith("/*")
+    at = inside.removesuffix("/*")
+    there = lambda x: next(os.scandir(f"{base}/{x}/{at}"), None) if os.path.isdir(f"{base}/{x}/{at}") and whole else os.path.isfile(f"{base}/{x}/{at}")
+    names = asked if asked is not None else sorted(e.name for e in os.scandir(base) if e.is_dir()) if os.path.isdir(base) else []
+    if not names or not (any if asked is None else all)(map(there, names)):
+        raise NotFound(patterns[0], "does not exist")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, raws, held = [], [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                for path in _below(f"{base}/{name}/{at}") if whole else (f"{base}/{name}/{at}",):
+                    try:
+                        with open(path, "rb") as f:
+                            raw = f.read()
+                    except FileNotFoundError:
+                        continue
+                    if not raw:  # as Spark's readers do
+                        continue
+                    paths.append(f"file:{path}")
+                    raws.append(raw)
+                    held += len(raws[-1]) + 200
+                    if held >= BYTES_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raws, pa.binary())], ["path", "raw"])
+                        paths, raws, held = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raws, pa.binary())], ["path", "raw"])
+
+    tasks = min(len(names), max(spark.sparkContext.defaultParallelism, -(-len(names) // PAPERS_A_TASK)))
+    listed = spark.createDataFrame(pa.table({"name": pa.array(names, pa.string())})).repartition(tasks)
+    return listed.mapInArrow(run, "path string, raw binary").select("path", F.col("raw").cast("string").alias("raw"))
+
+
+def _documents(raw: DataFrame, schema: str) -> DataFrame:
+    """(path, directory, value, problems) of many JSON documents (path, raw), checked on the executors."""
     kind = _type(schema)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +214,6 @@ def _documents(spark: SparkSession, pattern: str | list[str], schema: str) -> Da
                     found.append(f"is not JSON: {e}")
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("raw"), pa.array(found, pa.string())], ["path", "raw", "problems"])
 
-    try:
-        raw = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-    except PySparkException as e:
-        raise NotFound(pattern if isinstance(pattern, str) else pattern[0], "does not exist") from e
     checked = raw.mapInArrow(check, "path string, raw string, problems string")
     return checked.select("path", F.element_at(F.split("path", "/"), -2).alias("directory"), F.from_json("raw", schema).alias("value"), "problems")
 
@@ -149,8 +228,7 @@ def _sound(docs: DataFrame) -> DataFrame:
 def paper_meta(spark: SparkSession, data_dir: str, paper_ids: Sequence[int] | None = None) -> DataFrame:
     """The metadata of all papers, or of the given ones alone, without opening a page; an id must be that of its
     directory. Each document is read and checked once."""
-    files = f"{data_dir}/papers/*/paper.json" if paper_ids is None else [f"{data_dir}/papers/{i:04d}/paper.json" for i in sorted(set(paper_ids))]
-    docs = _sound(written(_documents(spark, files, schemas.PAPER), "paper-documents"))
+    docs = _sound(written(_documents(_paper_files(spark, data_dir, "paper.json", paper_ids), schemas.PAPER), "paper-documents"))
     if bad := docs.where(paper_directory(F.col("id")) != F.col("directory")).select("path", "id").limit(5).collect():
         raise Invalid(bad[0][0], f"has the id {bad[0][1]}")
     return docs.withColumn("preprocess", F.struct("preprocess.tool", "preprocess.version", F.to_timestamp("preprocess.processed_at").alias("processed_at"))).drop("path", "directory")
@@ -158,12 +236,8 @@ def paper_meta(spark: SparkSession, data_dir: str, paper_ids: Sequence[int] | No
 
 def paper_pages(spark: SparkSession, data_dir: str) -> DataFrame:
     """(paper_id, page, text) of all page files with the name NNN.md."""
-    try:
-        raw = spark.read.text(f"{data_dir}/papers/*/pages/*", wholetext=True)
-    except PySparkException as e:
-        raise NotFound(f"{data_dir}/papers", "has no pages") from e
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    rows = raw.select(F.element_at(parts, -3).alias("directory"), F.element_at(parts, -1).alias("name"), F.col("value").alias("text"))
+    parts = F.split(F.col("path"), "/")
+    rows = _paper_files(spark, data_dir, "pages/*").select(F.element_at(parts, -3).alias("directory"), F.element_at(parts, -1).alias("name"), F.col("raw").alias("text"))
     return rows.select(F.expr("try_cast(directory as bigint)").alias("paper_id"), F.expr(r"try_cast(regexp_extract(name, '^([0-9]+)[.]md$', 1) as int)").alias("page"), "name", "text")
 
 
@@ -183,9 +257,10 @@ def papers(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
     return meta, pages.drop("name")
 
 
-def extraction_rows(spark: SparkSession, data_dir: str, paper_ids: DataFrame | None = None) -> DataFrame:
-    """One nested row per stored extraction; its paper_id must be that of its directory, its version ours."""
-    docs = _sound(written(_documents(spark, f"{data_dir}/papers/*/extraction.json", schemas.EXTRACTION), "extraction-documents"))
+def extraction_rows(spark: SparkSession, data_dir: str, paper_ids: DataFrame | None = None, only: Sequence[int] | None = None) -> DataFrame:
+    """One nested row per stored extraction; its paper_id must be that of its directory, its version ours. With only, no
+    other files than these papers' are read."""
+    docs = _sound(written(_documents(_paper_files(spark, data_dir, "extraction.json", only), schemas.EXTRACTION), "extraction-documents"))
     if bad := docs.where(f"schema_version <> {schemas.EXTRACTION_VERSION}").select("path", "schema_version").limit(1).collect():
         raise Incompatible(bad[0][0], f"has the version {bad[0][1]}")
     if bad := docs.where(paper_directory(F.col("paper_id")) != F.col("directory")).select("path", "paper_id").limit(1).collect():
@@ -213,7 +288,11 @@ def normalization(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFr
     out = []
     for name, schema, field in (("concepts", schemas.CONCEPTS, "concepts"), ("concept_relations", schemas.GENERAL_RELATIONS, "concept_relations")):
         path = f"{data_dir}/normalization/{name}.json"
-        docs = _sound(_documents(spark, path, schema))
+        try:
+            raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+        except PySparkException as e:
+            raise NotFound(path, "does not exist") from e
+        docs = _sound(_documents(raw, schema))
         version = docs.select("schema_version").first()[0]
         if version != schemas.NORMALIZATION_VERSION:
             raise Incompatible(path, f"has the version {version}")
